@@ -4,48 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiercurve.functions.text import percent_text
-from tiercurve.operators.quantiles import merge_rows, quantiles
+from tiercurve.operators.quantiles import COUNT_STEP, merge_rows, quantiles
 from tiercurve.operators.running import (
     ABOVE_ALL,
     BELOW_ALL,
-    FANOUT,
     POINT,
     STEP,
-    TOP,
     cell_offsets,
-    with_cells,
+    with_steps,
 )
 from tiercurve.operators.skew import SALT, spread_join
 from tiercurve.operators.stats import AMOUNT_STEP
 
 POLICY_COLUMNS = ("gb", "grd_cd", "grd_nm", "std_ord", "std_amt")
-SMALL_POLICY = 1_000
+SMALL_POLICY = 100
 SMALL_BAND = 100
+IDS_PER_CELL = 100_000
 VIP = 10
 
 
-def _matches_of_small_policy(his: DataFrame, policy: DataFrame) -> DataFrame:
-    """Best grade per row and case, with the policy as one value: no join, no shuffle."""
-    grade = F.struct("grd_cd", "grd_nm", "std_ord", "std_amt")
-    cases = policy.groupBy("gb").agg(F.sort_array(F.collect_list(grade)).alias("grades"))
-    all_cases = cases.agg(F.collect_list(F.struct("gb", "grades")).alias("cases"))
-    met = F.filter(
-        "_case.grades",
-        lambda g: (F.col("cnt_order") >= g["std_ord"]) & (F.col("sum_amt") >= g["std_amt"]),
-    )
-    return his.withColumn("_case", F.explode(all_cases.scalar())).select(
-        *his.columns, F.col("_case.gb").alias("gb"), F.inline(F.slice(met, 1, 1))
-    )
+def _matches_of_small_policy(his: DataFrame, policy: Sequence[Row], schema: T.StructType) -> DataFrame:
+    """Best grade per row and case as one CASE expression per case: no join, no shuffle."""
+    best: dict[str, Column] = {}
+    for row in sorted(policy, key=lambda r: r["grd_cd"]):
+        met = (F.col("cnt_order") >= row["std_ord"]) & (F.col("sum_amt") >= row["std_amt"])
+        grade = F.struct(*(F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields))
+        best[row["gb"]] = best[row["gb"]].when(met, grade) if row["gb"] in best else F.when(met, grade)
+    return his.select("*", F.inline(F.array(*best.values()))).where(F.col("grd_cd").isNotNull())
 
 
-def _matches_of_large_policy(his: DataFrame, policy: DataFrame) -> DataFrame:
+def _matches_by_join(his: DataFrame, policy: DataFrame) -> DataFrame:
     """All grades met, by a join on the two thresholds; Spark chooses how to run it."""
     met = (F.col("h.cnt_order") >= F.col("p.std_ord")) & (F.col("h.sum_amt") >= F.col("p.std_amt"))
-    return his.alias("h").join(policy.select(*POLICY_COLUMNS).alias("p"), met)
+    return his.alias("h").join(policy.alias("p"), met)
 
 
 def grade_label(
@@ -57,19 +53,20 @@ def grade_label(
     """Best grade (lowest ``grd_cd``) per customer, month and policy case.
 
     A customer has a grade if both thresholds are met; who meets none in a case is absent
-    from it. The policy is counted first: up to ``small_policy`` rows it travels with the
-    tasks as one value, beyond that it is joined.
+    from it. A policy of at most ``small_policy`` rows is read first and becomes part of the
+    plan as CASE expressions; a larger one is joined.
 
     ``his_is_unique`` states that ``his`` has one row per customer and month, as
     ``customer_period_summary`` makes it. Then a small policy needs no shuffle at all.
     """
-    small = policy.limit(small_policy + 1).count() <= small_policy
-    if small:
-        matches = _matches_of_small_policy(his, policy)
+    policy = policy.select(*POLICY_COLUMNS)
+    rows = policy.head(small_policy + 1)
+    if 0 < len(rows) <= small_policy:
+        matches = _matches_of_small_policy(his, rows, policy.schema)
         if his_is_unique:
             return matches.withColumn("rn", F.lit(1))
     else:
-        matches = _matches_of_large_policy(his, policy)
+        matches = _matches_by_join(his, policy)
     best = Window.partitionBy("customer_id", "std_ym", "gb").orderBy("grd_cd")
     return matches.withColumn("rn", F.row_number().over(best)).where(F.col("rn") == 1)
 
@@ -155,25 +152,24 @@ def _rows_near_band(
     rows: DataFrame,
     part: Sequence[str],
     levels: Sequence[dict[str, str]],
-    start: str | None,
+    before_part: Column,
+    before: str,
     lo: int,
     hi: int,
 ) -> DataFrame:
-    """Rows in the cells that overlap the open rank interval, with the rank before each cell.
+    """Rows in the cells that overlap the open rank interval; ``before`` is the rank before a cell.
 
-    ``start`` names the column that holds the rank before ``part``, if there is one. Every kept
-    cell holds a row of the band, so a month keeps at most ``hi - lo - 1`` of them.
+    ``before_part`` is the rank before ``part``. Every kept cell holds a row of the band, so a
+    month keeps at most ``hi - lo - 1`` of them.
     """
     keys = [*part, *(name for level in levels for name in level)]
-    cells = cell_offsets(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), part, levels, ["_n"])
-    before = F.col("_n_before") if start is None else F.col("_n_before") + F.col(start)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     kept = (
-        cells.withColumn("_start", before)
-        .where((F.col("_start") + 1 < hi) & (F.col("_start") + F.col("_n") > lo))
-        .select(*(k for k in keys if k != "_start"), "_start")
+        cell_offsets(counts, part, levels, ["_n"])
+        .withColumn(before, before_part + F.col("_n_before"))
+        .where((F.col(before) + 1 < hi) & (F.col(before) + F.col("_n") > lo))
+        .select(*keys, before)
     )
-    keys = [k for k in keys if k != "_start"]
-    rows = rows.drop("_start")
     if hi - lo <= SMALL_BAND:
         return rows.join(F.broadcast(kept), keys)
     return spread_join(rows, kept, keys, ["customer_id"]).drop(SALT)
@@ -191,17 +187,19 @@ def rank_band(
     """
     columns = labels.columns
     rows = (
-        with_cells(labels.where(F.col("gb") == gb), "sum_amt", AMOUNT_STEP, BELOW_ALL)
+        with_steps(labels.where(F.col("gb") == gb), "sum_amt", AMOUNT_STEP, BELOW_ALL)
         .withColumn("_grade", F.coalesce(F.col("grd_cd").cast("long"), F.lit(ABOVE_ALL)))
         .withColumn("_orders", F.coalesce(F.col("cnt_order").cast("long"), F.lit(BELOW_ALL)))
         .withColumn("_id", F.coalesce(F.col("customer_id"), F.lit(ABOVE_ALL)))
-        .withColumn("_ids", F.expr("_id div 100000"))
+        .withColumn("_ids", F.coalesce(F.expr(f"_id div {IDS_PER_CELL}"), F.lit(0)))
     )
-    coarse = [{"_grade": "asc", "_orders": "desc", TOP: "desc"}, {STEP: "desc"}]
-    near = _rows_near_band(rows, ["std_ym"], coarse, None, lo, hi)
-    cell = ["std_ym", "_grade", "_orders", TOP, STEP]
+    coarse = [{"_grade": "asc", "_orders": "desc", STEP: "desc"}]
+    near = _rows_near_band(rows, ["std_ym"], coarse, F.lit(0), "_before", lo, hi)
+    # One shuffle of the rows near the band, used by the counts and by the ranking below.
+    cell = ["std_ym", "_grade", "_orders", STEP, "_before"]
+    near = near.repartition(*cell, POINT, "_ids")
     fine = [{POINT: "desc"}, {"_ids": "asc"}]
-    nearest = _rows_near_band(near, [*cell, "_start"], fine, "_start", lo, hi)
+    nearest = _rows_near_band(near, cell, fine, F.col("_before"), "_start", lo, hi)
     in_cell = Window.partitionBy(*cell, POINT, "_ids").orderBy("_id")
     rank = (F.col("_start") + F.row_number().over(in_cell)).cast("int")
     band = nearest.withColumn("_rank", rank).where((F.col("_rank") > lo) & (F.col("_rank") < hi))
@@ -228,7 +226,7 @@ def rank_band_stats(labels: DataFrame, lo: int, hi: int, gb: str = "case1") -> D
     return merge_rows(
         [
             band.agg(*means),
-            quantiles(band, [], "cnt_order", {"med_cnt_ord": 0.5}, FANOUT).drop("n"),
+            quantiles(band, [], "cnt_order", {"med_cnt_ord": 0.5}, COUNT_STEP).drop("n"),
             quantiles(band, [], "sum_amt", {"med_sum_amt": 0.5}, AMOUNT_STEP).drop("n"),
         ],
         [],

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiercurve.functions.months import month_number, month_number_of, month_text
-from tiercurve.operators.quantiles import merge_rows, quantiles
-from tiercurve.operators.running import FANOUT
+from tiercurve.operators.quantiles import COUNT_STEP, merge_rows, quantiles
 from tiercurve.operators.skew import SALT, spread_join
 from tiercurve.schemas import MONEY_SUM
 
@@ -82,7 +81,7 @@ def repeat_purchase_cycle(lifetime: DataFrame, by: str | None = None) -> DataFra
         F.try_divide(F.sum(F.col("cnt_ord") * F.col("weight")), F.sum("weight")).alias("per_ord"),
         F.try_divide(F.sum(F.col("period") * F.col("weight")), F.sum(timed)).alias("avg_period"),
     )
-    med_ord = quantiles(cells, groups, "cnt_ord", {"med_ord": 0.5}, FANOUT, "weight").drop("n")
+    med_ord = quantiles(cells, groups, "cnt_ord", {"med_ord": 0.5}, COUNT_STEP, "weight").drop("n")
     med_period = quantiles(cells, groups, "period", {"med_period": 0.5}, 1, "weight").drop("n")
     columns = ["n", "per_ord", "med_ord", "avg_period", "med_period"]
     return merge_rows([means, med_ord, med_period], groups).select(
@@ -126,9 +125,11 @@ def customer_period_summary(
     if last_ym is not None:
         last = F.least(last, F.lit(month_number_of(last_ym)))
     # A customer has at most a row per month and span here: placed together by customer, they
-    # can be spread to their months and summed again without a further shuffle.
+    # can be spread to their months and summed again without a further shuffle. The number of
+    # partitions is given, lest it be reduced to fit the rows before they are spread.
+    partitions = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        monthly.repartition("customer_id")
+        monthly.repartition(partitions, "customer_id")
         .withColumn("std", F.explode(F.sequence(first, last, F.lit(1))))
         .groupBy("customer_id", "std")
         .agg(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiercurve.operators.running import ABOVE_ALL, POINT, STEP, TOP, running_totals, with_cells
+from tiercurve.operators.running import ABOVE_ALL, POINT, STEP, running_totals, with_steps
 from tiercurve.operators.skew import SALT, salt_of
 from tiercurve.operators.stats import AMOUNT_STEP
 from tiercurve.schemas import MONEY_SUM
@@ -32,12 +32,12 @@ def pareto_curve(tx: DataFrame, years: Sequence[int] | None = None) -> DataFrame
     yearly = dated.groupBy("customer_id", F.year("tran_date").alias("yyyy")).agg(
         F.sum("total_amt").cast(MONEY_SUM).alias("sum_amt")
     )
-    customers = with_cells(yearly, "sum_amt", AMOUNT_STEP, ABOVE_ALL).withColumn(
+    customers = with_steps(yearly, "sum_amt", AMOUNT_STEP, ABOVE_ALL).withColumn(
         SALT, salt_of(["customer_id"], SALTS)
     )
     # Equal amounts are merged per salt: an amount that very many customers share is at most
     # SALTS rows here, and its customers meet their running value in SALTS different tasks.
-    peers = customers.groupBy("yyyy", TOP, STEP, POINT, SALT).agg(
+    peers = customers.groupBy("yyyy", STEP, POINT, SALT).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("customer_id").alias("cust"),
         F.sum("sum_amt").alias("amt"),

@@ -7,15 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiercurve.operators.running import BELOW_ALL, POINT, STEP, TOP, running_totals, with_cells
+from tiercurve.operators.running import BELOW_ALL, POINT, STEP, running_totals, with_steps
 
 COUNT = "_n"
+COUNT_STEP = 100_000
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """Distinct non-null values per key with their number of rows (or sum of ``weight``)."""
-    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias(COUNT))
+    """Distinct values per key with their number of rows (or sum of ``weight``); NULL counts 0."""
+    rows = F.lit(1) if weight is None else F.col(weight)
+    counted = F.sum(F.when(F.col(value).isNotNull(), rows).otherwise(0))
+    return df.groupBy(*keys, value).agg(counted.alias(COUNT))
 
 
 def quantiles_of_counts(
@@ -27,12 +29,12 @@ def quantiles_of_counts(
 ) -> DataFrame:
     """Linearly interpolated quantiles of counted values, one output column per entry of ``probs``.
 
-    ``width`` is the step of ``running.with_cells``: choose it so that a step holds at most
-    some 100,000 distinct values. Also returns ``n``, the number of non-null values. Groups
+    ``width`` is that of ``running.with_steps``: choose it so that a step holds at most some
+    100,000 distinct values. Also returns ``n``, the number of non-null values. Groups
     without any value are absent.
     """
-    cells = with_cells(counts, value, width, BELOW_ALL).select(*keys, TOP, STEP, POINT, COUNT)
-    placed = running_totals(cells, keys, [COUNT])
+    points = with_steps(counts, value, width, BELOW_ALL).select(*keys, STEP, POINT, COUNT)
+    placed = running_totals(points, keys, [COUNT])
     size = F.col(f"{COUNT}_all")
     upto = F.col(f"{COUNT}_run")
 
@@ -51,7 +53,9 @@ def quantiles_of_counts(
         part = part - F.floor(part)
         return F.col(f"_lo_{name}") * (1 - part) + F.col(f"_hi_{name}") * part
 
-    return picked.select(*keys, "n", *(between(name, p).alias(name) for name, p in probs.items()))
+    return picked.where(F.col("n") > 0).select(
+        *keys, "n", *(between(name, p).alias(name) for name, p in probs.items())
+    )
 
 
 def quantiles(

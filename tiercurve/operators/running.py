@@ -1,14 +1,14 @@
 """Running totals over an ordering that is too long for one task.
 
 A window partitioned by year alone puts a whole year into one task. Here the ordered value
-is cut into cells of fixed width, which are themselves grouped, so that every window sees
-only the children of one cell:
-
-    group -> cells of 100,000 steps -> steps of ``width`` -> distinct values in a step
-
-Rows with equal values are merged first (map-side), so the rows of one step are bounded by
-its width, whatever the distribution of the data. The cells depend on the value alone, not
-on a sample, so a task that is run again puts every row where it was before.
+is cut into steps of fixed width. One window runs over the totals of the non-empty steps,
+another over the distinct values within each step, and the two are added.
+
+Both stay small whatever the distribution. Rows with equal values are merged first
+(map-side), so a step has at most as many rows as there are distinct values in its width.
+Amounts that add up to T fill at most ``2 * sqrt(T / width)`` steps, because a step far from
+zero takes a large amount to fill. The steps depend on the value alone, not on a sample, so
+a task that is run again puts every row where it was before.
 """
 
 from __future__ import annotations
@@ -18,25 +18,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FANOUT = 100_000
 ABOVE_ALL = 1 << 62
 BELOW_ALL = -(1 << 62)
-TOP, STEP, POINT = "_top", "_step", "_point"
+STEP, POINT = "_step", "_point"
 
 
-def with_cells(df: DataFrame, value: str, width: float, null_step: int) -> DataFrame:
-    """Add the non-null columns ``_top``, ``_step`` and ``_point`` that locate ``value``.
+def with_steps(df: DataFrame, value: str, width: float, null_step: int) -> DataFrame:
+    """Add the non-null columns ``_step`` and ``_point`` that locate ``value``.
 
     ``null_step`` places NULL values before (``ABOVE_ALL``, descending) or after the others.
     The same ``_point`` may stand for NULL and for 0; their steps differ.
     """
+    # Non-null in the plan as well: otherwise joins on the steps add null checks that reach
+    # into one copy of a shared subplan, and it is computed once per copy.
     step = F.floor(F.col(value).cast("double") / F.lit(float(width)))
-    zero = F.lit(0).cast(df.schema[value].dataType)
-    return (
-        df.withColumn(STEP, F.coalesce(step, F.lit(null_step).cast("long")))
-        .withColumn(TOP, F.floor(F.col(STEP) / F.lit(float(FANOUT))))
-        .withColumn(POINT, F.coalesce(F.col(value), zero))
-    )
+    step = F.coalesce(step, F.lit(null_step).cast("long"))
+    point = F.coalesce(F.col(value), F.lit(0).cast(df.schema[value].dataType))
+    return df.withColumns({STEP: step, POINT: point})
 
 
 def cell_offsets(
@@ -81,15 +79,13 @@ def running_totals(
 ) -> DataFrame:
     """Running and total sums of ``measures`` by ``_point`` within ``part``.
 
-    ``peers`` comes from ``with_cells`` followed by a ``groupBy`` on ``part``, the cells and,
-    if hot values are to be split, a salt. Rows with the same point share a running value,
-    as under SQL's default frame. Adds ``<m>_run`` and ``<m>_all``.
+    ``peers`` comes from ``with_steps`` followed by a ``groupBy`` on ``part``, the step, the
+    point and, if hot values are to be split, a salt. Rows with the same point share a running
+    value, as under SQL's default frame. Adds ``<m>_run`` and ``<m>_all``.
     """
-    keys = [*part, TOP, STEP]
+    keys = [*part, STEP]
     steps = peers.groupBy(*keys).agg(*(F.sum(m).alias(m) for m in measures))
-    offsets = cell_offsets(
-        steps, part, [{TOP: direction}, {STEP: direction}], measures
-    ).drop(*measures)
+    offsets = cell_offsets(steps, part, [{STEP: direction}], measures).drop(*measures)
     point = F.col(POINT).desc() if direction == "desc" else F.col(POINT).asc()
     up_to = (
         Window.partitionBy(*keys)

@@ -11,8 +11,12 @@ SALT = "_salt"
 
 
 def salt_of(spread: Sequence[str], salts: int) -> Column:
-    """A salt computed from the row itself, so that a retried task gives the same one."""
-    return F.pmod(F.xxhash64(*spread), F.lit(salts))
+    """A salt computed from the row itself, so that a retried task gives the same one.
+
+    Never NULL, and known to the plan as such: a join then adds no null check that would reach
+    into one copy of a shared subplan and keep the copies from being computed once.
+    """
+    return F.coalesce(F.pmod(F.xxhash64(*spread), F.lit(salts)), F.lit(0).cast("long"))
 
 
 def spread_join(

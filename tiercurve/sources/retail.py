@@ -6,12 +6,15 @@ is a return, which gets a negative quantity and amount. ``grade_policy`` is a li
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tiercurve.operators.orders import customer_period_summary
-from tiercurve.schemas import GRADE_POLICY, MONEY
-from tiercurve.sources.tables import ParquetSource, conform
+from tiercurve.schemas import GRADE_POLICY, MONEY, MONEY_SUM
+from tiercurve.sources.tables import conform
 
 FIRST_YM, LAST_YM = "1996-01", "2001-07"
 RIVAL = "경쟁사"
@@ -32,30 +35,40 @@ POLICY_ROWS = """
 """
 
 
-def _signed_lines(lineitem: DataFrame) -> DataFrame:
+LINEITEM = "l_orderkey bigint, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz"
+
+
+def _signed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order key, signed quantity and signed cents of each line."""
     is_return = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
     sign = F.when(is_return, -1).otherwise(1)
-    return lineitem.select(
+    return spark.read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey",
         (F.col("l_quantity") * sign).cast("int").alias("qty"),
-        (F.col("l_extendedprice") * sign).cast(MONEY).alias("total_amt"),
+        (F.rint(F.col("l_extendedprice") * 100).cast("bigint") * sign).alias("cents"),
+    )
+
+
+def _of_orders(lines: DataFrame, sf_dir: str, *columns: Column) -> DataFrame:
+    """The columns of ``lines`` with the transaction, customer and date of their order."""
+    orders = lines.sparkSession.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderkey").alias("transaction_id"),
+        F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderdate").cast("date").alias("tran_date"),
+        *columns,
     )
 
 
+def _money(cents: Column, of: T.DecimalType) -> Column:
+    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(of)
+
+
 def transaction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line."""
-    source = ParquetSource(sf_dir)
-    return (
-        _signed_lines(source.read(spark, "lineitem"))
-        .join(source.read(spark, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            F.col("o_orderkey").alias("transaction_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").cast("date").alias("tran_date"),
-            "qty",
-            "total_amt",
-        )
-    )
+    amount = _money(F.col("cents"), MONEY).alias("total_amt")
+    return _of_orders(_signed_lines(spark, sf_dir), sf_dir, F.col("qty"), amount)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,31 +78,23 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     are summed where they are read, so an order with a huge number of lines cannot make the
     join lopsided, and about a quarter of the rows are shuffled.
     """
-    source = ParquetSource(sf_dir)
-    returned = F.col("qty") < 0
-
-    def merged(kind):
-        lines = F.count(F.when(kind, F.lit(1)))
-        qty = F.sum(F.when(kind, F.col("qty")))
-        amount = F.sum(F.when(kind, F.col("total_amt")))
-        return F.struct(lines.alias("lines"), qty.alias("qty"), amount.alias("total_amt"))
-
-    orders = (
-        _signed_lines(source.read(spark, "lineitem"))
+    is_return = F.coalesce(F.col("qty") < 0, F.lit(False))
+
+    def merged(kind: Column, name: str) -> Column:
+        parts = {
+            "lines": F.count(F.when(kind, F.lit(1))),
+            "qty": F.sum(F.when(kind, F.col("qty"))),
+            "total_amt": _money(F.sum(F.when(kind, F.col("cents"))), MONEY_SUM),
+        }
+        return F.struct(*(c.alias(k) for k, c in parts.items())).alias(name)
+
+    merged_lines = (
+        _signed_lines(spark, sf_dir)
         .groupBy("l_orderkey")
-        .agg(merged(returned).alias("back"), merged(F.coalesce(~returned, F.lit(True))).alias("sold"))
-    )
-    return (
-        orders.join(source.read(spark, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            F.col("o_orderkey").alias("transaction_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").cast("date").alias("tran_date"),
-            F.inline(F.array("back", "sold")),
-        )
-        .where(F.col("lines") > 0)
-        .drop("lines")
+        .agg(merged(is_return, "back"), merged(~is_return, "sold"))
     )
+    both = _of_orders(merged_lines, sf_dir, F.inline(F.array("back", "sold")))
+    return both.where(F.col("lines") > 0).drop("lines")
 
 
 def customer_grd_his(spark: SparkSession, sf_dir: str) -> DataFrame:
