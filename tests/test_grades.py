@@ -1,0 +1,162 @@
+import random
+
+import pytest
+from conftest import by, money, plan_of
+from pyspark.sql import functions as F
+
+from tiercurve.operators import grades
+from tiercurve.plans.whatif import grade_policy_whatif
+
+POLICY = [
+    ("case1", 10, "VIP", 4, 700), ("case1", 20, "GOLD", 2, 300), ("case1", 40, "FAMILY", 0, 0),
+    ("rival", 20, "GOLD", 2, 200),
+]
+
+
+@pytest.mark.parametrize("unique, small", [(True, 100), (False, 100), (False, 0)])
+def test_best_grade(make_his, make_policy, unique, small):
+    his = make_his(
+        (1, "2020-01", 4, 700),  # exactly on both thresholds
+        (2, "2020-01", 9, 699.99),  # amount short of the best grade
+        (3, "2020-01", 1, 5000),  # orders short: no grade in the rival case
+        (4, "2020-01", 2, 200),
+    )
+    labels = grades.grade_label(his, make_policy(*POLICY), unique, small)
+    got = {(r.customer_id, r.gb): (r.grd_cd, r.rn) for r in labels.collect()}
+    assert got == {
+        (1, "case1"): (10, 1), (1, "rival"): (20, 1), (2, "case1"): (20, 1), (2, "rival"): (20, 1),
+        (3, "case1"): (40, 1), (4, "case1"): (40, 1), (4, "rival"): (20, 1),
+    }
+    assert labels.columns == [
+        "customer_id", "std_ym", "cnt_order", "sum_amt", "gb", "grd_cd", "grd_nm", "std_ord", "std_amt", "rn",
+    ]
+
+
+@pytest.mark.parametrize("small", [100, 0])
+def test_repeated_customer_month_gets_one_label(make_his, make_policy, small):
+    his = make_his((1, "2020-01", 0, 0), (1, "2020-01", 4, 900))
+    labels = grades.grade_label(his, make_policy(*POLICY), small_policy=small)
+    assert {(r.gb, r.grd_cd) for r in labels.collect()} == {("case1", 10), ("rival", 20)}
+
+
+def test_null_totals_and_empty_policy_give_no_label(make_his, make_policy, spark):
+    his = make_his((1, "2020-01", None, 5), (2, "2020-01", 5, None))
+    assert grades.grade_label(his, make_policy(*POLICY), True).collect() == []
+    empty = make_policy(*POLICY).where("gb = 'none'")
+    assert grades.grade_label(make_his((1, "2020-01", 5, 5)), empty, True).collect() == []
+
+
+def test_labelling_unique_rows_needs_no_shuffle(make_his, make_policy):
+    plan = plan_of(grades.grade_label(make_his((1, "2020-01", 4, 700)), make_policy(*POLICY), True))
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+
+
+MIX = {"case1": "case1", "rival": "rival"}
+
+
+def mix_labels(make_labels):
+    return make_labels(
+        (1, "m1", 4, 1, "case1", 10, "V"), (2, "m1", 1, 1, "case1", 40, "F"), (3, "m1", 1, 1, "case1", 40, "F"),
+        (1, "m1", 4, 1, "rival", 10, "V2"), (4, "m1", 4, 1, "rival", 10, "V2"),
+        (5, "m2", 4, 1, "rival", 10, "V2"),
+    )
+
+
+def test_mix_has_gaps_and_rows_per_name(make_labels):
+    labels = mix_labels(make_labels)
+    got = by(grades.grade_mix_ratio(labels, MIX), "std_ym", "grd_cd", "grd_nm")
+    # Month m2 has no customer graded in case1, so it has no base.
+    assert set(got) == {("m1", 10, "V"), ("m1", 10, "V2"), ("m1", 40, "F")}
+    vip, rival = got["m1", 10, "V"], got["m1", 10, "V2"]
+    assert (vip["case1"], vip["rival"], vip["n"], vip["rival_prop"]) == (1, None, 3, None)
+    assert (rival["case1"], rival["rival"], rival["rival_prop"]) == (None, 2, 2 / 3)
+
+
+def test_mix_over_a_given_base_is_the_same(make_labels):
+    labels = mix_labels(make_labels)
+    own = grades.grade_mix_ratio(labels, MIX)
+    given = grades.grade_mix_ratio(labels, MIX, grades.graded_base(labels))
+    assert sorted(own.collect()) == sorted(given.collect())
+
+
+def test_mix_percent(make_labels):
+    got = by(grades.grade_mix_percent(mix_labels(make_labels), MIX), "grd_cd", "grd_nm")
+    assert (got[10, "V"]["case1_prop"], got[10, "V"]["rival_prop"]) == ("33.3%", None)
+    assert got[40, "F"]["case1_prop"] == "66.7%"
+
+
+def test_vip_share_and_average(make_labels):
+    share = grades.vip_share_by_month(mix_labels(make_labels))
+    assert {(r.gb, r.cnt, r.n) for r in share.collect()} == {("case1", 1, 3), ("rival", 2, 3)}
+    assert by(grades.vip_share_average(share), "gb")["rival"]["avg_prop"] == 2 / 3
+
+
+def test_target_headcount_rounds_half_to_even(spark):
+    base = spark.createDataFrame([("a", 50), ("b", 150), ("c", 250)], "std_ym string, n bigint")
+    row = grades.target_headcount(base, 0.01).collect()[0]
+    assert (row.avg, row.med) == (4 / 3, 2.0)
+
+
+def test_open_rank_band(make_labels):
+    rows = [(c, "m1", 1, 1000 - c, "case1", 40, "F") for c in range(1, 60)]
+    got = grades.rank_band(make_labels(*rows), 21, 25).collect()
+    assert [(r.customer_id, r.rn) for r in got] == [(22, 22), (23, 23), (24, 24)]
+
+
+def test_rank_ties_and_nulls(make_labels):
+    labels = make_labels(
+        (9, "m1", 1, None, "case1", 40, "F"), (8, "m1", 1, 5, "case1", 40, "F"),
+        (7, "m1", 1, 5, "case1", 40, "F"), (6, "m1", None, 9, "case1", 40, "F"),
+        (5, "m1", 0, 9, "case1", 20, "G"), (4, "m1", 9, 9, "rival", 10, "V"),
+        (3, "m1", 1, 0, "case1", 40, "F"), (None, "m1", 1, 5, "case1", 40, "F"),
+    )
+    got = grades.rank_band(labels, 0, 100).collect()
+    assert [r.customer_id for r in got] == [5, 7, 8, None, 3, 9, 6]
+
+
+@pytest.mark.parametrize("lo, hi", [(0, 4), (10, 30), (150, 270), (390, 1000)])
+def test_rank_band_against_brute_force(make_labels, lo, hi):
+    rng = random.Random(5)
+    rows = [
+        # A third of the customers of each month tie in grade, orders and amount.
+        (c * 70_001, m, *((1, 100) if rng.random() < 0.35 else (rng.randint(0, 3), rng.randint(0, 4000))),
+         "case1", rng.choice([20, 40]), "X")
+        for m in ("m1", "m2") for c in range(400)
+    ]
+    want = []
+    for m in ("m2", "m1"):
+        month = sorted((r for r in rows if r[1] == m), key=lambda r: (r[5], -r[2], -r[3], r[0]))
+        want += [(m, i, r[0]) for i, r in enumerate(month, 1) if lo < i < hi]
+    got = grades.rank_band(make_labels(*rows), lo, hi, newest_first=True).collect()
+    assert [(r.std_ym, r.rn, r.customer_id) for r in got] == want
+
+
+@pytest.mark.parametrize("hi", [5, 500])
+def test_rank_band_stats(make_labels, hi):
+    rows = [(c, "m1", c % 3, 10 * c, "case1", 40, "F") for c in range(1, 8)]
+    band = sorted(((r[2], r[3]) for r in rows), key=lambda x: (-x[0], -x[1]))[2 : hi - 1]
+    row = grades.rank_band_stats(make_labels(*rows), 2, hi).collect()[0]
+    counts, amounts = sorted(b[0] for b in band), sorted(b[1] for b in band)
+    n = len(band)
+    assert row.avg_cnt_ord == pytest.approx(sum(counts) / n)
+    assert row.avg_sum_amt == pytest.approx(sum(amounts) / n)
+    assert row.med_cnt_ord == (counts[(n - 1) // 2] + counts[n // 2]) / 2
+    assert row.med_sum_amt == (amounts[(n - 1) // 2] + amounts[n // 2]) / 2
+
+
+def test_empty_rank_band(make_labels):
+    labels = make_labels((1, "m1", 1, 1, "case1", 40, "F"))
+    assert grades.rank_band(labels, 450, 490).collect() == []
+    assert tuple(grades.rank_band_stats(labels, 460, 490).collect()[0]) == (None,) * 4
+
+
+def test_whatif_keeps_the_old_base(make_his, make_policy):
+    his = make_his((1, "2020-01", 4, 900), (2, "2020-01", 1, 100), (3, "2020-01", 3, 800))
+    new = make_policy(("case2", 10, "VIP", 3, 700))
+    result = grade_policy_whatif(his, make_policy(*POLICY), new, {"case1": "case1", "case2": "case2"})
+    got = by(result.mix.where("grd_cd = 10"), "grd_cd")[10]
+    assert (got["case1"], got["case2"], got["n"]) == (1, 2, 3)
+    assert {(r.gb, r.prop) for r in result.vip_share.collect()} == {("case1", 1 / 3), ("case2", 2 / 3)}
+    assert by(result.vip_average, "gb")["case2"]["avg_prop"] == 2 / 3
+    assert by(result.mix_percent.where("grd_cd = 10"), "grd_cd")[10]["case2_prop"] == "66.7%"
+    assert result.labels.where(F.col("sum_amt") == money(100)).count() == 1
