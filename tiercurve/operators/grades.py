@@ -33,7 +33,7 @@ def _matches_of_small_policy(his: DataFrame, policy: Sequence[Row], schema: T.St
     best: dict[str, Column] = {}
     for row in sorted(policy, key=lambda r: r["grd_cd"]):
         met = (F.col("cnt_order") >= row["std_ord"]) & (F.col("sum_amt") >= row["std_amt"])
-        grade = F.struct(*(F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields))
+        grade = F.struct(*(F.lit(row[name]) for name in schema.names)).cast(schema)
         best[row["gb"]] = best[row["gb"]].when(met, grade) if row["gb"] in best else F.when(met, grade)
     return his.select("*", F.inline(F.array(*best.values()))).where(F.col("grd_cd").isNotNull())
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiercurve.functions.months import month_number, month_number_of, month_text
@@ -11,14 +11,16 @@ from tiercurve.operators.skew import SALT, spread_join
 from tiercurve.schemas import MONEY_SUM
 
 
-def net_orders(tx: DataFrame, *grain: str) -> DataFrame:
+def net_orders(tx: DataFrame, *grain: str, within: Column | None = None) -> DataFrame:
     """Lines of transactions without any return line, summed per transaction and customer.
 
     One line with ``qty < 0`` drops the whole transaction; lines without a transaction id
     are kept. The lines are summed before they are joined, so that a transaction with a huge
-    number of lines is a few rows by then. ``grain`` adds grouping columns.
+    number of lines is a few rows by then. ``grain`` adds grouping columns. ``within`` restricts
+    the lines that are summed, but not those looked at for returns.
     """
-    orders = tx.groupBy("transaction_id", "customer_id", *grain).agg(
+    lines = tx if within is None else tx.where(within)
+    orders = lines.groupBy("transaction_id", "customer_id", *grain).agg(
         F.sum("total_amt").alias("sum_amt"),
         F.min("tran_date").alias("fst_dt"),
         F.max("tran_date").alias("lst_dt"),
@@ -101,13 +103,14 @@ def customer_period_summary(
     with lines in several months counts once per window. ``first_ym`` and ``last_ym`` bound
     the reference months.
     """
-    dated = net_orders(tx.withColumn("ym", month_number(F.col("tran_date"))), "ym").where(
-        F.col("ym").isNotNull()
-    )
-    if last_ym is not None:
-        dated = dated.where(F.col("ym") <= month_number_of(last_ym))
+    day = F.col("tran_date")
+    within = day.isNotNull()
     if first_ym is not None:
-        dated = dated.where(F.col("ym") > month_number_of(first_ym) - window_months)
+        start = F.add_months(F.lit(f"{first_ym}-01").cast("date"), 1 - window_months)
+        within &= day >= start
+    if last_ym is not None:
+        within &= day < F.add_months(F.lit(f"{last_ym}-01").cast("date"), 1)
+    dated = net_orders(tx.withColumn("ym", month_number(day)), "ym", within=within)
     # An order counts from its month until it appears again or its window ends. The salt is
     # in the keys so that the partitioning of the join above serves this window too.
     same_order = Window.partitionBy("transaction_id", SALT, "customer_id").orderBy("ym")

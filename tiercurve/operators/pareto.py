@@ -32,15 +32,15 @@ def pareto_curve(tx: DataFrame, years: Sequence[int] | None = None) -> DataFrame
     yearly = dated.groupBy("customer_id", F.year("tran_date").alias("yyyy")).agg(
         F.sum("total_amt").cast(MONEY_SUM).alias("sum_amt")
     )
-    customers = with_steps(yearly, "sum_amt", AMOUNT_STEP, ABOVE_ALL).withColumn(
-        SALT, salt_of(["customer_id"], SALTS)
-    )
+    # The row without a customer has a salt of its own: it runs along but is not a customer.
+    salt = F.when(F.col("customer_id").isNull(), SALTS).otherwise(salt_of(["customer_id"], SALTS))
+    customers = with_steps(yearly, "sum_amt", AMOUNT_STEP, ABOVE_ALL).withColumn(SALT, salt)
     # Equal amounts are merged per salt: an amount that very many customers share is at most
-    # SALTS rows here, and its customers meet their running value in SALTS different tasks.
-    peers = customers.groupBy("yyyy", STEP, POINT, SALT).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("customer_id").alias("cust"),
-        F.sum("sum_amt").alias("amt"),
+    # SALTS + 1 rows here, and its customers meet their running value in that many tasks.
+    peers = (
+        customers.groupBy("yyyy", STEP, POINT, SALT)
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("sum_amt").alias("amt"))
+        .withColumn("cust", F.when(F.col(SALT) < SALTS, F.col("rows")).otherwise(0))
     )
     totals = running_totals(peers, ["yyyy"], ["rows", "cust", "amt"], "desc")
     keys = ["yyyy", STEP, POINT, SALT]

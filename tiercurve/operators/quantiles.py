@@ -13,27 +13,27 @@ COUNT = "_n"
 COUNT_STEP = 100_000
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """Distinct values per key with their number of rows (or sum of ``weight``); NULL counts 0."""
+def counted_points(
+    df: DataFrame, keys: Sequence[str], value: str, width: float, weight: str | None = None
+) -> DataFrame:
+    """Distinct values per key with their step and number of rows (or sum of ``weight``).
+
+    ``width`` is that of ``running.with_steps``: choose it so that a step holds at most some
+    100,000 distinct values. NULL counts 0.
+    """
     rows = F.lit(1) if weight is None else F.col(weight)
     counted = F.sum(F.when(F.col(value).isNotNull(), rows).otherwise(0))
-    return df.groupBy(*keys, value).agg(counted.alias(COUNT))
+    counts = df.groupBy(*keys, value).agg(counted.alias(COUNT))
+    return with_steps(counts, value, width, BELOW_ALL).select(*keys, STEP, POINT, COUNT)
 
 
-def quantiles_of_counts(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    width: float,
+def quantiles_of_points(
+    points: DataFrame, keys: Sequence[str], probs: Mapping[str, float]
 ) -> DataFrame:
-    """Linearly interpolated quantiles of counted values, one output column per entry of ``probs``.
+    """Linearly interpolated quantiles of counted points, one output column per entry of ``probs``.
 
-    ``width`` is that of ``running.with_steps``: choose it so that a step holds at most some
-    100,000 distinct values. Also returns ``n``, the number of non-null values. Groups
-    without any value are absent.
+    Also returns ``n``, the number of non-null values. Groups without any value are absent.
     """
-    points = with_steps(counts, value, width, BELOW_ALL).select(*keys, STEP, POINT, COUNT)
     placed = running_totals(points, keys, [COUNT])
     size = F.col(f"{COUNT}_all")
     upto = F.col(f"{COUNT}_run")
@@ -66,8 +66,8 @@ def quantiles(
     width: float,
     weight: str | None = None,
 ) -> DataFrame:
-    """``quantiles_of_counts`` of the values of ``df``."""
-    return quantiles_of_counts(value_counts(df, keys, value, weight), keys, value, probs, width)
+    """``quantiles_of_points`` of the values of ``df``. Keys are non-null."""
+    return quantiles_of_points(counted_points(df, keys, value, width, weight), keys, probs)
 
 
 def merge_rows(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiercurve.functions.text import thousands_text
-from tiercurve.operators.quantiles import COUNT, quantiles, quantiles_of_counts, value_counts
-from tiercurve.operators.skew import spread_join
+from tiercurve.operators.quantiles import COUNT, counted_points, quantiles, quantiles_of_points
+from tiercurve.operators.running import POINT, STEP
 
 AMOUNT_STEP = 1000
 QUARTILES = {"q1": 0.25, "med": 0.5, "q3": 0.75}
@@ -37,11 +37,13 @@ def box_stats(
     Outliers lie more than 1.5 interquartile ranges outside the box. A whisker ends at the
     most extreme other value, or at the box where that value lies inside the box.
     """
-    counts = value_counts(df, keys, value)
-    box = quantiles_of_counts(counts, keys, value, QUARTILES, width)
-    # The distinct values of a hot group are split over several tasks by value.
-    placed = spread_join(counts, box, keys, [value])
-    x = F.col(value).cast("double")
+    points = counted_points(df, keys, value, width)
+    box = quantiles_of_points(points, keys, QUARTILES)
+    # The box reaches its values step by step, not key by key: no key is one task, and the
+    # points are partitioned by key and step already. Steps of NULL values count 0.
+    steps = points.groupBy(*keys, STEP).agg(F.sum(COUNT).alias(COUNT)).where(F.col(COUNT) > 0)
+    placed = points.join(steps.drop(COUNT).join(box, keys), [*keys, STEP])
+    x = F.col(POINT).cast("double")
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     return (
@@ -50,7 +52,7 @@ def box_stats(
             *(F.max(c).alias(c) for c in ("n", *QUARTILES)),
             F.min(F.when(inside, x)).alias("lo"),
             F.max(F.when(inside, x)).alias("hi"),
-            F.sum(F.when(inside, F.lit(0)).otherwise(F.col(COUNT))).alias("n_out"),
+            F.sum(F.when(inside, 0).otherwise(F.col(COUNT))).alias("n_out"),
         )
         .withColumn("lo", F.least("lo", "q1"))
         .withColumn("hi", F.greatest("hi", "q3"))
