@@ -195,9 +195,7 @@ def rank_band(
     )
     coarse = [{"_grade": "asc", "_orders": "desc", STEP: "desc"}]
     near = _rows_near_band(rows, ["std_ym"], coarse, F.lit(0), "_before", lo, hi)
-    # One shuffle of the rows near the band, used by the counts and by the ranking below.
     cell = ["std_ym", "_grade", "_orders", STEP, "_before"]
-    near = near.repartition(*cell, POINT, "_ids")
     fine = [{POINT: "desc"}, {"_ids": "asc"}]
     nearest = _rows_near_band(near, cell, fine, F.col("_before"), "_start", lo, hi)
     in_cell = Window.partitionBy(*cell, POINT, "_ids").orderBy("_id")

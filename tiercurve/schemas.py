@@ -24,7 +24,7 @@ TRANSACTIONS = T.StructType(
 CUSTOMER_GRD_HIS = T.StructType(
     [
         T.StructField("customer_id", T.LongType()),
-        T.StructField("std_ym", T.StringType()),
+        T.StructField("std_ym", T.StringType(), nullable=False),
         T.StructField("cnt_order", T.LongType(), nullable=False),
         T.StructField("sum_amt", MONEY_SUM, nullable=False),
     ]
