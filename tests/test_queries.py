@@ -37,6 +37,14 @@ def test_plan(spark, name):
             assert "_step" in order_by
 
 
+@pytest.mark.parametrize(
+    "name, rows",
+    [("net_customer_summary", 1489), ("customer_period_summary", 53099), ("pareto_curve", 7837), ("rank_band_gold", 2613)],
+)
+def test_known_row_counts(spark, name, rows):
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() == rows
+
+
 def test_returns_are_an_anti_join(spark):
     assert "LeftAnti" in plan_of(QUERIES["net_customer_summary"](spark, TINY))
 

@@ -130,7 +130,9 @@ def customer_period_summary(
     # A customer has at most a row per month and span here: placed together by customer, they
     # can be spread to their months and summed again without a further shuffle. The number of
     # partitions is given, lest it be reduced to fit the rows before they are spread.
-    partitions = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = tx.sparkSession.conf
+    initial = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    partitions = int(initial or conf.get("spark.sql.shuffle.partitions"))
     return (
         monthly.repartition(partitions, "customer_id")
         .withColumn("std", F.explode(F.sequence(first, last, F.lit(1))))
