@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 SIGNS = ",.;:!?|*%&$#"
 _encoders: dict[str, Encoder] = {}
 
@@ -144,7 +144,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def groups(texts: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def groups(texts: pa.Array, limit: int = 3 << 20) -> Iterator[tuple[int, pa.Array]]:
     """``(first row, rows)`` of runs of texts with about ``limit`` bytes."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
