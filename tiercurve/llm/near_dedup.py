@@ -11,11 +11,12 @@ what links connect. Texts without words are linked to nothing.
   similarity, and after the first points only processes that may still beat a slot's time go on.
 * *Bands.* Texts that agree in all ``ROWS`` slots of one of ``BANDS`` bands are candidates: at similarity 0.8, all but
   7 pairs in a million.
-* *Verification.* Candidates are verified on the multisets themselves. Equal multisets are one text first. In the first round every text is
-  compared with the least text of its bucket, so a large group of copies costs one comparison for each
-  and no pairs. In the second, texts of a bucket that are not yet connected are compared with all others
-  of it that they are not connected with: then no candidate link between different classes is left unseen. A pair whose one-byte
-  slots agree in fewer than ``SKETCH`` of all is passed over (at 0.8, about one pair in ten million).
+* *Verification.* Candidates are verified on the multisets themselves. Equal multisets are one text first. Then every
+  text is compared with the least text of its bucket, so a large group of copies costs one comparison for each and
+  no pairs. In ``ROUNDS`` more rounds, texts apart from the largest class in their bucket are compared with ``LEADERS`` texts
+  of it, others each time. Last, what is still apart is compared with all of its bucket that it is not
+  connected with: so no candidate link between different classes is left unseen. A pair whose one-byte slots agree
+  in fewer than ``SKETCH`` of all is passed over (at 0.8, about one pair in 100,000).
 
 Repeated rows and equal texts are in one class. The class is named by the least ``doc_id`` in it; a null ``doc_id``
 comes last and names a class only if all its ids are null, in which case the class is null.
@@ -35,7 +36,9 @@ from tiercurve.llm.common import SPACED, Words, fields, grams, mix, text_chunks,
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
-SKETCH = 0.6
+SKETCH = 0.66
+ROUNDS, LEADERS = 2, 4
+BLOCK, TASK_ROWS = 2048, 20_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,24 +153,80 @@ def _shifted(chunk: tuple[int, int, np.ndarray, np.ndarray]) -> tuple[np.ndarray
     return documents + first, found, counts
 
 
+def _likely(sketch_a: np.ndarray, sketch_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether sketches and sizes allow enough overlap."""
+    agree = (sketch_a == sketch_b).mean(-1) >= SKETCH
+    return agree & (np.minimum(size_a, size_b) >= SIMILARITY * np.maximum(size_a, size_b) - 1e-9)
+
+
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose sketches and sizes allow enough overlap."""
+    """Keeps the likely ones of pairs."""
     for batch in batches:
-        n = batch.num_rows
-        sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, SLOTS) for c in ("sketch_a", "sketch_b")]
-        agree = (sides[0] == sides[1]).mean(1)
-        size = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
-        keep = (agree >= SKETCH) & (np.minimum(*size) >= SIMILARITY * np.maximum(*size) - 1e-9)
+        sizes = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
+        keep = _likely(*(_sketches(batch.column(c)) for c in ("sketch_a", "sketch_b")), *sizes)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of ids whose multisets overlap by ``SIMILARITY`` or more."""
+def _listed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The likely ones of listed pairs ``(a, b)`` of ids."""
     pairs = pairs.distinct()
     for side in ("a", "b"):
         own = sketches.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         pairs = pairs.join(own, side)
-    likely = written(pairs.mapInArrow(_alike, "a long, b long"))
+    return pairs.mapInArrow(_alike, "a long, b long")
+
+
+def _within(placed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The likely pairs of a text apart from its bucket's largest class and any text of the bucket not connected with it.
+
+    Sketches go to the bucket, once for each text, and are compared there; only likely pairs leave it. Large buckets are cut
+    into blocks of about ``BLOCK`` texts, and each block meets each; small ones share a task.
+    """
+    rows = placed.count()
+    if not rows:
+        return placed.sparkSession.createDataFrame([], "a long, b long")
+    counts = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    full = placed.join(sketches, "id").join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    names = ["bucket", "id", "root", "size", "sketch"]
+    left = full.where("root != head").select(*names, F.col("own").alias("block_a"), other).withColumnRenamed("other", "block_b")
+    right = full.select(*names, F.col("own").alias("block_b"), other).withColumnRenamed("other", "block_a")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, both sides being one table
+    task = F.pmod(F.xxhash64("bucket", "block_a", "block_b"), F.lit(-(-rows // TASK_ROWS))).alias("task")
+
+    def compare(apart: pa.Table, every: pa.Table) -> pa.Table:
+        sides = []
+        for side in (apart, every):
+            cells = np.stack([side[n].to_numpy().astype(np.int64) for n in ("bucket", "block_a", "block_b")])
+            order = np.lexsort(cells)
+            own = [side[n].to_numpy()[order] for n in ("id", "root", "size")]
+            sides.append((cells[:, order], *own, _sketches(side["sketch"])[order]))
+        (cell_a, id_a, root_a, size_a, sketch_a), (cell_b, id_b, root_b, size_b, sketch_b) = sides
+        new = np.flatnonzero(np.append(True, (np.diff(cell_a, axis=1) != 0).any(0))[: cell_a.shape[1]])
+        starts_b = {tuple(c): k for k, c in reversed(list(enumerate(cell_b.T.tolist())))}
+        ends_b = {tuple(c): k + 1 for k, c in enumerate(cell_b.T.tolist())}
+        out = [np.zeros((2, 0), np.int64)]
+        for first, end in zip(new, np.append(new[1:], cell_a.shape[1]), strict=True):
+            at = tuple(cell_a[:, first].tolist())
+            b = slice(starts_b.get(at, 0), ends_b.get(at, 0))
+            for i in range(first, end):
+                some = np.flatnonzero((root_b[b] != root_a[i]) & _likely(sketch_a[i], sketch_b[b], size_a[i], size_b[b]))
+                if len(some):
+                    out.append(np.stack([np.full(len(some), id_a[i]), id_b[b][some]]))
+        pairs = np.concatenate(out, axis=1)
+        return pa.table({"a": pairs.max(0), "b": pairs.min(0)})
+
+    by_task = [df.select("*", task).groupBy("task") for df in (left, right)]
+    return by_task[0].cogroup(by_task[1]).applyInArrow(compare, "a long, b long")
+
+
+def _verified(likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose multisets overlap by ``SIMILARITY`` or more."""
+    likely = written(likely.distinct())
     for side in ("a", "b"):
         likely = likely.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
     return written(likely.mapInArrow(_overlap, "a long, b long"))
@@ -218,23 +277,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches, keys = some.select("id", "size", "sketch"), some.select("id", "key")
     texts = written(docs.withColumn("key", F.md5("text")).join(keys, "key").groupBy("id").agg(F.first("text").alias("text")))
 
-    first = _verified(shared.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b")), sketches, texts)
-    roots = components(first)
-    # What is not yet connected with the least of its bucket, against all of the bucket that it is not connected with.
-    placed = written(shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    heads = placed.where("id = low").select("bucket", F.col("root").alias("head"))
-    apart = placed.join(heads, "bucket").where("root != head").select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"))
-    rest = apart.join(placed.select("bucket", F.col("id").alias("b"), "root"), "bucket").where("root != root_a")
-    second = _verified(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), sketches, texts)
-    linked = roots if second.isEmpty() else components(first.unionAll(second))
+    pairs = shared.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    roots = components(_verified(_listed(pairs, sketches), texts))
+    for k in range(ROUNDS + 1):
+        placed = _placed(shared, roots)
+        if k < ROUNDS:
+            apart = placed.where("root != head").select("bucket", F.col("id").alias("a"))
+            pairs = apart.join(_leaders(placed, k), "bucket").select("a", F.explode("leaders").alias("b"))
+            likely = _listed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), sketches)
+        else:
+            likely = _within(placed, sketches)
+        found = _verified(likely, texts)
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(found))
 
     classes = marks.select("doc_id", "key", "content").join(distinct.select("content", "id"), "content", "left")
-    classes = classes.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classes = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = classes.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
     name = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return classes.join(names, "root", "left").select("doc_id", "key", "root", name.alias("class_id"))
 
 
+def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets of more than one class, with the root of each text and of the largest class in its bucket."""
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("many"))
+    known = roots.join(sizes, "root")
+    placed = shared.join(known, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"), F.coalesce("many", F.lit(1)).alias("many"))
+    heads = placed.groupBy("bucket").agg(F.max("many").alias("most"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    mixed = placed.join(heads.select("bucket", "most"), "bucket")  # buckets of more than one class
+    head = mixed.where("many = most").groupBy("bucket").agg(F.min("root").alias("head"))
+    return written(mixed.join(head, "bucket").select("bucket", "id", "root", "head"))
+
+
+def _leaders(placed: DataFrame, k: int) -> DataFrame:
+    """``LEADERS`` texts of the largest class of each bucket: the least by a hash that changes with ``k``."""
+    own = placed.where("root = head").select("bucket", "id")
+    least = [F.min_by("id", F.xxhash64("id", F.lit(k * LEADERS + j))).alias(f"l{j}") for j in range(LEADERS)]
+    return own.groupBy("bucket").agg(*least).select("bucket", F.array_distinct(F.array(*(f"l{j}" for j in range(LEADERS)))).alias("leaders"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "class_id")
 
