@@ -5,7 +5,7 @@ Written from the definition of each analysis over single lines, not from its Spa
 
 from __future__ import annotations
 
-from tiercurve.sources.retail import FIRST_YM, LAST_YM, POLICY_ROWS, RIVAL
+from tiercurve.sources.retail import POLICY_ROWS, RIVAL
 
 _TX = """
 tx AS (
@@ -40,10 +40,12 @@ lifetime AS (
   FROM net GROUP BY customer_id
 )"""
 
-_HIS = f"""
+_HIS = """
 months AS (
-  SELECT CAST(m AS DATE) AS m
-  FROM generate_series(DATE '{FIRST_YM}-01', DATE '{LAST_YM}-01', INTERVAL 1 MONTH) AS g(m)
+  SELECT CAST(unnest(generate_series(date_trunc('month', min(tran_date))::TIMESTAMP,
+                                     date_trunc('month', max(tran_date))::TIMESTAMP + INTERVAL 11 MONTH,
+                                     INTERVAL 1 MONTH)) AS DATE) AS m
+  FROM net
 ),
 his AS (
   SELECT customer_id, strftime(m, '%Y-%m') AS std_ym,

@@ -16,7 +16,6 @@ from tiercurve.operators.orders import customer_period_summary
 from tiercurve.schemas import GRADE_POLICY, MONEY, MONEY_SUM
 from tiercurve.sources.tables import conform
 
-FIRST_YM, LAST_YM = "1996-01", "2001-07"
 RIVAL = "경쟁사"
 
 # Minimum orders and minimum amount per policy case and grade.
@@ -98,7 +97,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_grd_his(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customer_period_summary(transactions(spark, sf_dir), 12, FIRST_YM, LAST_YM)
+    """Customer totals for every month whose 12 months hold a net line, whatever years the data cover."""
+    return customer_period_summary(transactions(spark, sf_dir), 12)
 
 
 def grade_policy(spark: SparkSession, *cases: str) -> DataFrame:
