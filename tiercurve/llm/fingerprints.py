@@ -126,7 +126,8 @@ def edited(docs: DataFrame) -> DataFrame:
     last half (rounded down). Rows that repeat ``doc_id`` and text are one document in that order.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = with_vector(rows, "text", "numbers").withColumns({"digest": F.xxhash64("doc_id", "text"), "n_chars": F.length("text").cast("long")})
+    # Both joins below read the same columns of it in the same partitions, so that texts are shuffled once for the two.
+    own = with_vector(rows, "text", "numbers").withColumn("digest", F.xxhash64("doc_id", "text"))
     keys = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("digest"), F.length("text").alias("n_chars"))
     order = followers(keys.select("doc_id", "digest"))
     halves = keys.distinct().select("digest", F.col("doc_id").alias("of_id"), F.expr("n_chars div 2").cast("int").alias("half"))
@@ -137,8 +138,9 @@ def edited(docs: DataFrame) -> DataFrame:
         "of_id", "of_digest", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("instead"), F.col("numbers").alias("next_numbers")
     ).dropDuplicates(["of_id", "of_digest"])  # one row for each, but where the next document is repeated
     both = own.join(handed, (own["digest"] == handed["of_digest"]) & own["doc_id"].eqNullSafe(handed["of_id"]))
-    text = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.expr("n_chars div 2")).cast("int")), F.col("instead"))
-    return both.select("doc_id", "n_chars", "numbers", "next_numbers", text.alias("edited"))
+    length = F.length("text")
+    text = F.concat(F.substring(F.col("text"), F.lit(1), (length - F.expr("length(text) div 2")).cast("int")), F.col("instead"))
+    return both.select("doc_id", length.cast("long").alias("n_chars"), "numbers", "next_numbers", text.alias("edited"))
 
 
 def query(docs: DataFrame) -> DataFrame:
