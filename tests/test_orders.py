@@ -77,6 +77,14 @@ def test_repeat_cycle_by_orders(spark):
     assert (got[2]["n"], got[2]["med_period"]) == (2, 18.5)
 
 
+def test_repeat_cycle_by_a_column_with_nulls(spark):
+    rows = [(1, 2, 10, "2019-01"), (2, 2, 20, None), (3, 3, 20, None), (4, 2, None, None)]
+    lifetime = spark.createDataFrame(rows, "customer_id bigint, cnt_ord bigint, diff_days int, fst_buy_ym string")
+    got = by(orders.repeat_purchase_cycle(lifetime, "fst_buy_ym"), "fst_buy_ym")
+    assert tuple(got[None].values()) == (None, 3, 7 / 3, 2.0, 15.0, 15.0)
+    assert tuple(got["2019-01"].values()) == ("2019-01", 1, 2.0, 2.0, 10.0, 10.0)
+
+
 def test_repeat_cycle_of_nobody(spark):
     row = orders.repeat_purchase_cycle(spark.createDataFrame([(1, 1, 0)], LIFETIME)).collect()
     assert [tuple(r) for r in row] == [(0, None, None, None, None)]

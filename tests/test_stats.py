@@ -38,6 +38,18 @@ def test_box_stats_ignore_null_amounts(spark):
     assert (got[1.0]["n"], got[1.0]["med"], got[1.0]["n_out"]) == (2, 2, 0)
 
 
+def test_box_stats_of_a_null_key(spark):
+    rows = [(None, "x", 1.0), (None, "x", 3.0), ("a", "x", 5.0), (None, None, 7.0)]
+    got = stats.box_stats(spark.createDataFrame(rows, "k string, l string, v double"), ["k", "l"], "v").collect()
+    assert {(r.k, r.l): (r.n, r.med, r.lo, r.hi) for r in got} == {(None, "x"): (2, 2, 1, 3), ("a", "x"): (1, 5, 5, 5), (None, None): (1, 7, 7, 7)}
+
+
+def test_quantiles_of_a_null_key(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 4.0), (2, 9.0), (2, None)], "k int, v double")
+    got = quantiles.quantiles(df, ["k"], "v", {"med": 0.5}, 1)
+    assert sorted(map(tuple, got.collect()), key=str) == [(2, 1, 9.0), (None, 2, 2.5)]
+
+
 def test_median_and_label(spark):
     got = by(stats.median_amount_by_orders(summary(spark, {1: [2500], 2: [1234500], 3: [1, 2, 3, 10], 4: [3500]})), "cnt_order")
     assert [got[k]["label"] for k in (1.0, 2.0, 4.0)] == ["2천원", "1,234천원", "4천원"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tiercurve.operators.running import BELOW_ALL, POINT, STEP, running_totals, with_steps
 
-COUNT = "_n"
+COUNT, KEY = "_n", "_key"
 COUNT_STEP = 100_000
 
 
@@ -66,8 +66,20 @@ def quantiles(
     width: float,
     weight: str | None = None,
 ) -> DataFrame:
-    """``quantiles_of_points`` of the values of ``df``. Keys are non-null."""
-    return quantiles_of_points(counted_points(df, keys, value, width, weight), keys, probs)
+    """``quantiles_of_points`` of the values of ``df``. A NULL key is a group like any other."""
+    part = [KEY] if keys else []
+    points = counted_points(with_key(df, keys), part, value, width, weight)
+    return without_key(quantiles_of_points(points, part, probs), keys)
+
+
+def with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``keys`` as one struct, which is never NULL itself: joins on it keep NULL keys, as groupings do."""
+    return df.withColumn(KEY, F.struct(*keys)) if keys else df
+
+
+def without_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The columns of ``keys`` in place of the struct."""
+    return df.select(*(F.col(KEY).getField(k).alias(k) for k in keys), *(c for c in df.columns if c != KEY))
 
 
 def merge_rows(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiercurve.functions.text import thousands_text
-from tiercurve.operators.quantiles import COUNT, counted_points, quantiles, quantiles_of_points
+from tiercurve.operators.quantiles import (
+    COUNT,
+    KEY,
+    counted_points,
+    quantiles,
+    quantiles_of_points,
+    with_key,
+    without_key,
+)
 from tiercurve.operators.running import POINT, STEP
 
 AMOUNT_STEP = 1000
@@ -35,19 +43,21 @@ def box_stats(
     """Quartiles, whiskers and outlier count of ``value`` per group of ``keys``.
 
     Outliers lie more than 1.5 interquartile ranges outside the box. A whisker ends at the
-    most extreme other value, or at the box where that value lies inside the box.
+    most extreme other value, or at the box where that value lies inside the box. A NULL key is
+    a group like any other.
     """
-    points = counted_points(df, keys, value, width)
-    box = quantiles_of_points(points, keys, QUARTILES)
+    part = [KEY] if keys else []
+    points = counted_points(with_key(df, keys), part, value, width)
+    box = quantiles_of_points(points, part, QUARTILES)
     # The box reaches its values step by step, not key by key: no key is one task, and the
     # points are partitioned by key and step already. Steps of NULL values count 0.
-    steps = points.groupBy(*keys, STEP).agg(F.sum(COUNT).alias(COUNT)).where(F.col(COUNT) > 0)
-    placed = points.join(steps.drop(COUNT).join(box, keys), [*keys, STEP])
+    steps = points.groupBy(*part, STEP).agg(F.sum(COUNT).alias(COUNT)).where(F.col(COUNT) > 0)
+    placed = points.join(steps.drop(COUNT).join(box, part), [*part, STEP])
     x = F.col(POINT).cast("double")
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
-    return (
-        placed.groupBy(*keys)
+    stats = (
+        placed.groupBy(*part)
         .agg(
             *(F.max(c).alias(c) for c in ("n", *QUARTILES)),
             F.min(F.when(inside, x)).alias("lo"),
@@ -57,6 +67,7 @@ def box_stats(
         .withColumn("lo", F.least("lo", "q1"))
         .withColumn("hi", F.greatest("hi", "q3"))
     )
+    return without_key(stats, keys)
 
 
 def amount_box_stats(summary: DataFrame) -> DataFrame:

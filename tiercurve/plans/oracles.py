@@ -215,6 +215,7 @@ FROM curve WHERE yyyy IN (1997, 1998)"""
         "customer_lifetime": _sql(*life, "SELECT * FROM lifetime"),
         "repeat_purchase_cycle": _sql(*life, _cycle("")),
         "repeat_purchase_cycle_by_orders": _sql(*life, _cycle("cnt_ord")),
+        "repeat_purchase_cycle_by_first_month": _sql(*life, _cycle("fst_buy_ym")),
         "purchase_span_histogram": _sql(
             *life,
             """SELECT CAST(50 * greatest(ceil((diff_days - 25.0) / 50.0), 0) AS INTEGER) AS bin_center,

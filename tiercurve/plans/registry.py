@@ -99,6 +99,7 @@ def queries() -> dict[str, Query]:
         "customer_lifetime": _lifetime,
         "repeat_purchase_cycle": _repeat_cycle,
         "repeat_purchase_cycle_by_orders": lambda s, d: _repeat_cycle(s, d, "cnt_ord"),
+        "repeat_purchase_cycle_by_first_month": lambda s, d: _repeat_cycle(s, d, "fst_buy_ym"),
         "purchase_span_histogram": lambda s, d: stats.purchase_span_histogram(_lifetime(s, d)),
         "amount_box_stats": amount_box_stats,
         "median_amount_by_orders": lambda s, d: stats.median_amount_by_orders(_summary(s, d)),
