@@ -8,7 +8,8 @@ mandatory trigram (long runs of hex digits) runs over every text. Postings are g
 trigram, so a trigram in most documents makes no group large.
 
 Spans are places in code points, end exclusive, leftmost and without overlap within a rule; overlapping spans of
-different rules all stay. A null text is empty and has no span. Rows that repeat ``doc_id`` and text are alike.
+different rules all stay. The span of a PEM private key holds all of it, not its BEGIN line alone. A null text is empty
+and has no span. Rows that repeat ``doc_id`` and text are alike.
 """
 
 from __future__ import annotations
@@ -32,13 +33,25 @@ class Rule:
     least: int
 
 
+# A private key from its BEGIN line through its END line, whatever is between; without an END line of its own through the
+# header and base64 lines that follow (or runs of base64 in the same line, where line ends became blanks). Line ends
+# may be written as \n. Repeated groups are possessive: Java walks those without recursion, however long the text.
+_BEGIN = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+_TO_END = r"(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_BREAK = r"""(?:[\x20\t"',]*+(?:[\r\n]|\\r|\\n)[\x20\t>#|"']*+)++"""
+_LINES = (
+    r"(?:[\x20\t]++[A-Za-z0-9+/=]{40,}+)*+(?:(?<=[A-Za-z0-9+/=])[\x20\t]++[A-Za-z0-9+/=]++)?+"
+    + "(?:" + _BREAK + r"(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
+    + "(?:" + _BREAK + r"""[A-Za-z0-9+/=]++(?=[\x20\t"',]*+(?![^\r\n\\])))*+"""
+)
+
 # The rules in the order in which spans with equal starts are listed. The first three are the base ones.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     # A run that is too short has no long enough part, so the least length can stand in the expression.
     Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
+    Rule("pem", _BEGIN + "(?:" + _TO_END + "|" + _LINES + ")", 0, 1),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
 )
 MOST_STRINGS, MOST_CHARS = 64, 8
