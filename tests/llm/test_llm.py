@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -348,6 +349,17 @@ def test_near_dedup(docs, texts, odd, empty):
     assert near_dedup.query(empty).count() == 0
 
 
+def test_sketches_lose_less_than_bands():
+    """At the least similarity of a link, and with bytes that agree by chance."""
+    byte = near_dedup.SIMILARITY + (1 - near_dedup.SIMILARITY) / 256
+    n, least = near_dedup.SLOTS, near_dedup.SKETCH * near_dedup.SLOTS
+    missed = sum(math.comb(n, k) * byte**k * (1 - byte) ** (n - k) for k in range(n + 1) if k < least - 1e-9)
+    assert missed < 0.01 * (1 - near_dedup.SIMILARITY**near_dedup.ROWS) ** near_dedup.BANDS
+    sketch = np.zeros((2, n), np.uint8)
+    sketch[1, : n - 92] = 1  # 92 of 150 agree
+    assert near_dedup._likely(sketch[0], sketch[1:], np.int64(90), np.array([100])).all()
+
+
 def test_signatures_estimate_weighted_jaccard():
     random = np.random.default_rng(3)
     keys = random.integers(0, 2**63, 60).astype(np.uint64)

@@ -16,7 +16,7 @@ what links connect. Texts without words are linked to nothing.
   no pairs. In ``ROUNDS`` more rounds, texts apart from the largest class in their bucket are compared with ``LEADERS`` texts
   of it, others each time. Last, what is still apart is compared with all of its bucket that it is not
   connected with: so no candidate link between different classes is left unseen. A pair whose one-byte slots agree
-  in fewer than ``SKETCH`` of all is passed over (at 0.8, about one pair in 100,000).
+  in fewer than ``SKETCH`` of all is passed over (at 0.8, five pairs in a billion).
 
 Repeated rows and equal texts are in one class. The class is named by the least ``doc_id`` in it; a null ``doc_id``
 comes last and names a class only if all its ids are null, in which case the class is null.
@@ -36,7 +36,7 @@ from tiercurve.llm.common import SPACED, Words, fields, grams, mix, text_chunks,
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
-SKETCH = 0.66
+SKETCH = 0.6
 ROUNDS, LEADERS = 2, 4
 BLOCK, TASK_ROWS = 2048, 20_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
