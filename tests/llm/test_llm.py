@@ -97,6 +97,14 @@ def test_language_held_out(docs):
     assert sum(a == b for a, b in got) >= 0.93 * len(got) > 0
 
 
+def test_language_learns_from_texts_that_are_mostly_copies(spark):
+    text = F.concat(F.lit("wort "), (F.col("id") % 50).cast("string"), F.lit(" ende"))
+    docs = spark.range(30_000).select(text.alias("text"), F.lit("de").alias("lang")).unionAll(spark.createDataFrame([("one", "en")], "text string, lang string"))
+    known = language.dictionaries(docs, F.lit(True))
+    assert list(known) == ["de", "en"] and known["en"] == b"one"
+    assert sorted(known["de"].decode().split("\n")) == sorted(f"wort {i} ende" for i in range(50))
+
+
 def test_classifiers_on_odd_rows(odd, empty, labels):
     for out in (toxicity.query(odd, labels), quality.query(odd, labels), toxicity.query(odd, labels.where("false")), quality.query(odd, labels.where("false"))):
         got = out.collect()

@@ -69,18 +69,20 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
-def bounded_sample(df: DataFrame, group: str, key: Column, per_group: int) -> tuple[DataFrame, dict]:
+def bounded_sample(df: DataFrame, group: str, key: Column, per_group: int, repeated: bool = False) -> tuple[DataFrame, dict]:
     """About ``per_group`` rows of each value of ``group`` (all, if it has fewer), chosen by the hash of ``key``.
 
-    Returns the sample and the row count of each value. Equal keys are taken together. Values are
+    Returns the sample and the row count of each value. Equal keys are taken together; if they may be
+    ``repeated``, ``per_group`` bounds the distinct keys of a value, each with all its rows. Values are
     expected to be few (classes, languages): their counts go to the driver, rows do not.
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
+    wanted = [F.count(F.lit(1)), *([F.count_distinct(F.xxhash64(key))] if repeated else [])]
+    found = df.where(F.col(group).isNotNull()).groupBy(group).agg(*wanted).collect()
     share = F.lit(0.0)
-    for value, count in counts.items():
-        share = F.when(F.col(group) == F.lit(value), F.lit(min(1.0, per_group / count))).otherwise(share)
+    for row in found:
+        share = F.when(F.col(group) == F.lit(row[0]), F.lit(min(1.0, per_group / row[-1]))).otherwise(share)
     draw = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    return df.where(F.col(group).isNotNull() & (draw < share)), counts
+    return df.where(F.col(group).isNotNull() & (draw < share)), {r[0]: r[1] for r in found}
 
 
 def labelled_sample(

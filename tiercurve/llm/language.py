@@ -1,7 +1,7 @@
 """Language by compression: the smallest size under a zstandard dictionary of each language wins.
 
 The dictionary of a language is raw content: pieces of text of a bounded sample of its documents
-(``DOCUMENTS`` documents, ``PIECES`` pieces of at most ``PIECE`` characters, ``DICTIONARY`` bytes). A text
+(``DOCUMENTS`` distinct texts, ``PIECES`` pieces of at most ``PIECE`` characters, ``DICTIONARY`` bytes). A text
 is compressed whole, in blocks of ``BLOCK`` bytes so that the dictionary and not the text's own past
 decides, once with each dictionary; letter case is ignored. The score is how much smaller the best total is than the second best,
 scaled to 0 to 1; below ``MARGIN`` the answer counts as rejected. Ties go to the language with more documents.
@@ -30,8 +30,8 @@ UNKNOWN = "und"
 def dictionaries(docs: DataFrame, learn: Column) -> dict[str, bytes]:
     """The dictionary of each language, those with more documents first."""
     known = docs.where(learn & F.col("text").isNotNull()).select("lang", "text")
-    sample, counts = bounded_sample(known, "lang", F.col("text"), DOCUMENTS)
-    pieces = sample.select("lang", F.explode(F.expr(f"regexp_extract_all(text, '[^\\\\n]{{1,{PIECE}}}', 0)")).alias("piece")).distinct()
+    sample, counts = bounded_sample(known, "lang", F.col("text"), DOCUMENTS, repeated=True)
+    pieces = sample.distinct().select("lang", F.explode(F.expr(f"regexp_extract_all(text, '[^\\\\n]{{1,{PIECE}}}', 0)")).alias("piece")).distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
     rows = pieces.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIECES).orderBy("lang", "place").collect()
     out: dict[str, bytes] = {}
