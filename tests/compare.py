@@ -1,4 +1,4 @@
-"""Compare each query with its DuckDB SQL, row for row, and print the time each took.
+"""Compare each query that has DuckDB SQL with it, row for row, and print the time each took.
 
     python tests/compare.py [sf_dir] [query ...]
 """
@@ -49,7 +49,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark, con = local_session(8), duck(sf_dir)
     queries, oracles = contract.queries(), contract.oracle_sql()
-    for name in sys.argv[2:] or queries:
+    for name in sys.argv[2:] or oracles:
         start = time.time()
         df = queries[name](spark, sf_dir)
         wrong = differences(df, con, oracles[name])

@@ -7,9 +7,10 @@ from compare import differences, duck
 from conftest import plan_of
 
 import __spark_entry__ as contract
+from tiercurve.plans import oracles, registry
 
 TINY = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = registry.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -38,7 +38,7 @@ def test_list_tables(spark):
 
 def test_jdbc_options():
     source = tables.JdbcSource(
-        "jdbc:postgresql://db/Retail", {"user": "u", "password": "p"}, {"transactions": ("transaction_id", 0, 100, 8)}
+        "jdbc:postgresql://host/shop", {"user": "u", "password": "p"}, {"transactions": ("transaction_id", 0, 100, 8)}
     )
     options = source.options("transactions")
     assert options["dbtable"] == "transactions" and options["user"] == "u"
