@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,23 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a session in one process gets a local folder; any other fails, since a folder of the driver's would
+    hold no rows that executors wrote.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_scratch()
+
+
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="llm-")
 
 
 def written(df: DataFrame) -> DataFrame:

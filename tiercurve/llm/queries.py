@@ -10,7 +10,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiercurve.llm import decontaminate, fingerprints, language, near_dedup, packing, quality, secrets, substring_dedup, token_output, toxicity
+from tiercurve.llm import (
+    decontaminate,
+    fingerprints,
+    language,
+    near_dedup,
+    packing,
+    periodic,
+    quality,
+    secrets,
+    substring_dedup,
+    token_output,
+    toxicity,
+    turns,
+    warc,
+)
 from tiercurve.llm.common import table
 
 
@@ -36,6 +50,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": _over(secrets.query, "documents"),
         "op9_token_output": _over(token_output.query, "documents"),
         "op10_near_dedup": _over(near_dedup.query, "documents"),
+        "op11_periodic_runs": _over(periodic.query, "documents"),
+        "op12_warc": _over(warc.query, "pages"),
+        "op13_turn_repair": _over(turns.query, "conversations"),
         "pipeline": pipeline,
     }
 
