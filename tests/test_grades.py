@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from conftest import by, money, plan_of
@@ -13,15 +14,14 @@ POLICY = [
 ]
 
 
-@pytest.mark.parametrize("unique, small", [(True, 100), (False, 100), (False, 0)])
-def test_best_grade(make_his, make_policy, unique, small):
+def test_best_grade(make_his, make_policy):
     his = make_his(
         (1, "2020-01", 4, 700),  # exactly on both thresholds
         (2, "2020-01", 9, 699.99),  # amount short of the best grade
         (3, "2020-01", 1, 5000),  # orders short: no grade in the rival case
         (4, "2020-01", 2, 200),
     )
-    labels = grades.grade_label(his, make_policy(*POLICY), unique, small)
+    labels = grades.grade_label(his, make_policy(*POLICY))
     got = {(r.customer_id, r.gb): (r.grd_cd, r.rn) for r in labels.collect()}
     assert got == {
         (1, "case1"): (10, 1), (1, "rival"): (20, 1), (2, "case1"): (20, 1), (2, "rival"): (20, 1),
@@ -32,23 +32,60 @@ def test_best_grade(make_his, make_policy, unique, small):
     ]
 
 
-@pytest.mark.parametrize("small", [100, 0])
-def test_repeated_customer_month_gets_one_label(make_his, make_policy, small):
-    his = make_his((1, "2020-01", 0, 0), (1, "2020-01", 4, 900))
-    labels = grades.grade_label(his, make_policy(*POLICY), small_policy=small)
-    assert {(r.gb, r.grd_cd) for r in labels.collect()} == {("case1", 10), ("rival", 20)}
+def test_repeated_customer_month_gets_one_label(make_his, make_policy):
+    his = make_his((1, "2020-01", 0, 0), (1, "2020-01", 4, 900), (1, "2020-01", 5, 800), (1, "2020-01", 4, 900))
+    labels = grades.grade_label(his, make_policy(*POLICY)).collect()
+    assert {(r.gb, r.grd_cd, r.cnt_order) for r in labels} == {("case1", 10, 5), ("rival", 20, 5)}
+    assert len(labels) == 2
 
 
-def test_null_totals_and_empty_policy_give_no_label(make_his, make_policy, spark):
+def test_null_totals_and_empty_policy_give_no_label(make_his, make_policy):
     his = make_his((1, "2020-01", None, 5), (2, "2020-01", 5, None))
-    assert grades.grade_label(his, make_policy(*POLICY), True).collect() == []
+    assert grades.grade_label(his, make_policy(*POLICY)).collect() == []
     empty = make_policy(*POLICY).where("gb = 'none'")
-    assert grades.grade_label(make_his((1, "2020-01", 5, 5)), empty, True).collect() == []
-
-
-def test_labelling_unique_rows_needs_no_shuffle(make_his, make_policy):
-    plan = plan_of(grades.grade_label(make_his((1, "2020-01", 4, 700)), make_policy(*POLICY), True))
-    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+    assert grades.grade_label(make_his((1, "2020-01", 5, 5)), empty).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 100, 101, 5000])
+def test_labels_under_a_policy_of_any_size(make_his, make_policy, size):
+    rng = random.Random(size)
+    policy = [(f"case{i % 3}", i // 3, f"G{i}", rng.randint(0, 9), rng.randint(0, 900)) for i in range(size)]
+    rows = [(rng.randint(1, 25), f"2020-0{rng.randint(1, 3)}", rng.randint(0, 9), rng.randint(0, 900)) for _ in range(80)]
+    want = {}
+    for customer, month, orders, amount in rows:
+        for gb, grade, _, least_orders, least_amount in policy:
+            if orders >= least_orders and amount >= least_amount:
+                best = want.setdefault((customer, month, gb), (grade, -orders, -amount))
+                want[customer, month, gb] = min(best, (grade, -orders, -amount))
+    labels = grades.grade_label(make_his(*rows), make_policy(*policy))
+    got = {(r.customer_id, r.std_ym, r.gb): (r.grd_cd, -r.cnt_order, -int(r.sum_amt)) for r in labels.collect()}
+    assert got == want and labels.count() == len(want)
+
+
+def test_a_table_that_is_no_policy_is_refused(make_his, spark):
+    rows = F.lit("g").alias("gb"), F.col("id").cast("int").alias("grd_cd"), F.lit("n").alias("grd_nm")
+    policy = spark.range(grades.MOST_POLICY_ROWS + 1).select(*rows, F.lit(0).alias("std_ord"), F.lit(0).cast("decimal(18,2)").alias("std_amt"))
+    with pytest.raises(Exception, match="a policy has at most 100000 rows, not 100001"):
+        grades.grade_label(make_his((1, "2020-01", 5, 5)), policy).collect()
+
+
+def jobs_of(spark, build):
+    """How many jobs ``build`` starts."""
+    context = spark.sparkContext
+    context.setJobGroup("build", "build")
+    build()
+    started = len(context.statusTracker().getJobIdsForGroup("build"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    return started
+
+
+def test_labelling_reads_the_policy_when_the_result_is_computed(spark, make_his, make_policy):
+    his, policy = make_his((1, "2020-01", 4, 700)), make_policy(*POLICY)
+    assert jobs_of(spark, lambda: grades.grade_label(his, policy)) == 0
+    placed = grades.grade_label(his.repartition("customer_id"), policy)
+    plan = plan_of(placed).split("Subqueries")[0]
+    assert "row_number" in plan and "Join" not in plan
+    assert re.search(r"Exchange hashpartitioning\(customer_id[^,]*, std_ym", plan) is None
 
 
 MIX = {"case1": "case1", "rival": "rival"}
@@ -72,11 +109,11 @@ def test_mix_has_gaps_and_rows_per_name(make_labels):
     assert (rival["case1"], rival["rival"], rival["rival_prop"]) == (None, 2, 2 / 3)
 
 
-def test_mix_over_a_given_base_is_the_same(make_labels):
+def test_a_hidden_base_gives_no_rows(make_labels):
     labels = mix_labels(make_labels)
+    hidden = labels.unionByName(labels.where("gb = 'case1'").withColumns({"gb": F.lit("old"), "grd_nm": F.lit("old name")}))
     own = grades.grade_mix_ratio(labels, MIX)
-    given = grades.grade_mix_ratio(labels, MIX, grades.graded_base(labels))
-    assert sorted(own.collect()) == sorted(given.collect())
+    assert sorted(own.collect()) == sorted(grades.grade_mix_ratio(hidden, MIX, "old", hidden_base=True).collect())
 
 
 def test_mix_percent(make_labels):
@@ -131,6 +168,33 @@ def test_rank_band_against_brute_force(make_labels, lo, hi):
     assert [(r.std_ym, r.rn, r.customer_id) for r in got] == want
 
 
+@pytest.mark.parametrize("lo, hi", [(0, 3), (9_990, 10_010), (500, 19_000)])
+def test_ties_of_very_many_customers_with_sparse_ids(spark, lo, hi):
+    # 20,000 customers tie in all but their ids, which are spread over 64 bits, some next to each other.
+    rng = random.Random(7)
+    ids = sorted({*(rng.randrange(-(1 << 63), 1 << 63) for _ in range(12_000)), *range(4000), *range(1 << 62, (1 << 62) + 4000)})
+    tied = spark.createDataFrame([(i,) for i in ids], "customer_id bigint").select(
+        "customer_id", F.lit("m1").alias("std_ym"), F.lit(1).cast("long").alias("cnt_order"), F.lit(100).cast("decimal(28,2)").alias("sum_amt"),
+        F.lit("case1").alias("gb"), F.lit(40).alias("grd_cd"), F.lit("F").alias("grd_nm"), F.lit(1).alias("rn"),
+    )
+    got = grades.rank_band(tied, lo, hi).collect()
+    assert [(r.rn, r.customer_id) for r in got] == [(k, i) for k, i in enumerate(ids, 1) if lo < k < hi]
+    bits = F.struct(*(F.shiftright("customer_id", grades.ID_BITS * k) for k in (2, 1)))
+    assert tied.groupBy(bits).count().agg(F.max("count")).first()[0] == 4000  # those next to each other: the largest window
+
+
+def test_the_last_window_is_within_an_amount_and_id_bits(make_labels):
+    plan = plan_of(grades.rank_band(make_labels((1, "m1", 1, 1, "case1", 40, "F")), 0, 5))
+    ranked = re.search(r"row_number\(\) windowspecdefinition\((.*?) ASC NULLS", plan).group(1)
+    assert all(part in ranked for part in ("std_ym", "_grade", "_orders", "_step", "_point", "_high", "_mid"))
+
+
+def test_statistics_need_no_sorted_band(make_labels):
+    labels = make_labels((1, "m1", 1, 1, "case1", 40, "F"))
+    assert "rangepartitioning" in plan_of(grades.rank_band(labels, 0, 500))
+    assert "rangepartitioning" not in plan_of(grades.rank_band_stats(labels, 0, 500))
+
+
 @pytest.mark.parametrize("hi", [5, 500])
 def test_rank_band_stats(make_labels, hi):
     rows = [(c, "m1", c % 3, 10 * c, "case1", 40, "F") for c in range(1, 8)]
@@ -160,3 +224,19 @@ def test_whatif_keeps_the_old_base(make_his, make_policy):
     assert by(result.vip_average, "gb")["case2"]["avg_prop"] == 2 / 3
     assert by(result.mix_percent.where("grd_cd = 10"), "grd_cd")[10]["case2_prop"] == "66.7%"
     assert result.labels.where(F.col("sum_amt") == money(100)).count() == 1
+
+
+def test_whatif_that_changes_the_base_case_itself(make_his, make_policy):
+    his = make_his((1, "2020-01", 4, 900), (2, "2020-01", 0, 0))
+    old = make_policy(("case1", 20, "GOLD", 4, 900))
+    result = grade_policy_whatif(his, old, make_policy(("case1", 40, "FAMILY", 0, 0)), {"case1": "case1"})
+    assert {(r.grd_cd, r.case1, r.n) for r in result.mix.collect()} == {(20, 1, 1), (40, 1, 1)}
+    assert {r.gb for r in result.labels.collect()} == {"case1"}
+
+
+def test_whatif_reads_the_history_once(spark, tmp_path, make_his, make_policy):
+    make_his((1, "2020-01", 4, 900)).write.parquet(str(tmp_path / "his"))
+    his = spark.read.parquet(str(tmp_path / "his"))
+    result = grade_policy_whatif(his, make_policy(*POLICY), make_policy(("case2", 10, "VIP", 3, 700)), {"case1": "case1", "case2": "case2"})
+    for df in (result.mix, result.mix_percent, result.vip_share, result.vip_average):
+        assert plan_of(df).count("FileScan parquet") == 1

@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import by, day, money
+from conftest import by, day, money, plan_of
 
 from tiercurve.operators import orders
 
@@ -135,3 +135,25 @@ def test_period_summary_against_brute_force(make_tx, window):
     assert {k: (r["cnt_order"], r["sum_amt"]) for k, r in got.items()} == {
         k: (len(ids[k]), money(a)) for k, a in amounts.items()
     }
+
+
+def test_an_order_that_reappears_counts_once_per_window(make_tx):
+    tx = make_tx((1, 7, "2019-01-05", 1, 10), (1, 7, "2019-02-05", 1, 1), (1, 7, "2019-08-05", 1, 5), (2, 7, "2019-02-01", 1, 2))
+    got = by(orders.customer_period_summary(tx, 3), "std_ym")
+    assert {m: (r["cnt_order"], r["sum_amt"]) for m, r in got.items()} == {
+        "2019-01": (1, money(10)), "2019-02": (2, money(13)), "2019-03": (2, money(13)), "2019-04": (2, money(3)),
+        "2019-08": (1, money(5)), "2019-09": (1, money(5)), "2019-10": (1, money(5)),
+    }
+
+
+def test_returns_are_looked_up_for_shared_transactions_only(make_tx, spark):
+    own = make_tx((1, 7, "2019-01-01", 1, 1), (1, 7, "2019-01-01", -1, 1), (2, 8, "2019-01-01", 1, 1))
+    plan = plan_of(orders.net_orders(own))
+    assert "LeftAnti" in plan and "Generate" not in plan  # no copies of the returns
+    assert by(orders.net_orders(own), "transaction_id").keys() == {2}
+
+
+def test_a_return_outside_the_period_drops_the_transaction(make_tx):
+    tx = make_tx((1, 7, "2019-01-15", 1, 10), (1, 7, "2020-06-15", -1, -10), (2, 7, "2019-01-20", 1, 3))
+    got = by(orders.customer_period_summary(tx, 1, "2019-01", "2019-01"), "std_ym")
+    assert (got["2019-01"]["cnt_order"], got["2019-01"]["sum_amt"]) == (1, money(3))

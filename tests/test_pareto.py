@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tiercurve.operators import pareto
+from tiercurve.operators.skew import hot_join
 from tiercurve.schemas import MONEY_SUM
 
 
@@ -102,3 +103,19 @@ def test_year_and_compare(spark):
 def test_year_without_revenue_fails_as_division_by_zero(make_tx):
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
         pareto.pareto_curve(year(make_tx, 5, -5)).collect()
+
+
+def test_hot_join_against_a_plain_join(spark):
+    big = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v"))
+    small = big.where("k <> 11").groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    want = sorted(map(tuple, big.join(small, "k").select("k", "v", "n", "s").collect()))
+    for hot in (1, 3, 1000):
+        got = hot_join(big, small, ["k"], "n", ["v"], hot)
+        assert got.columns == ["k", "v", "n", "s"] and sorted(map(tuple, got.collect())) == want
+    heavy = hot_join(big, small, ["k"], "n", ["v"], 1)
+    assert "BroadcastHashJoin" in plan_of(heavy) and "TakeOrderedAndProject(limit=1" in plan_of(heavy)
+
+
+def test_a_step_window_has_one_row_per_point(make_tx):
+    plan = plan_of(pareto.pareto_curve(year(make_tx, 10, 10, 5)))
+    assert "_salt" not in plan

@@ -1,5 +1,6 @@
 import pytest
 from conftest import money, plan_of
+from pyspark.sql import types as T
 
 from tiercurve import schemas
 from tiercurve.operators import orders, pareto
@@ -38,13 +39,49 @@ def test_list_tables(spark):
 
 def test_jdbc_options():
     source = tables.JdbcSource(
-        "jdbc:postgresql://host/shop", {"user": "u", "password": "p"}, {"transactions": ("transaction_id", 0, 100, 8)}
+        "jdbc:postgresql://host/shop", {"user": "u", "password": "p"}, {"transactions": ("transaction_id", 0, 100, 8), "city": tables.ONE_TASK}
     )
     options = source.options("transactions")
     assert options["dbtable"] == "transactions" and options["user"] == "u"
     assert (options["partitionColumn"], options["numPartitions"]) == ("transaction_id", "8")
     assert "partitionColumn" not in source.options("city")
     assert "password" not in repr(source)
+    with pytest.raises(ValueError, match="say in split how other is read"):
+        source.options("other")
+
+
+DECLARED = T.StructType([T.StructField("k", T.LongType(), False), T.StructField("d", T.DateType()), T.StructField("a", T.DecimalType(5, 2), False)])
+RAW = [("1", "2020-01-02", "9.5"), (None, "2020-02-30", "1"), ("x", None, "1234.5"), ("4", "2020-01-02", None)]
+BROKEN = {"k is no bigint": 1, "k is NULL": 1, "d is no date": 1, "a is no decimal(5,2)": 1, "a is NULL": 1}
+
+
+def test_broken_rules_are_counted_in_the_pass_that_writes(spark, tmp_path):
+    raw = spark.createDataFrame(RAW, "k string, d string, a string")
+    table = tables.watched(raw, "things", DECLARED)
+    table.df.write.parquet(str(tmp_path / "out"))
+    assert table.counts() == BROKEN
+    with pytest.raises(tables.ConstraintError, match="things: k is no bigint in 1 rows, k is NULL in 1 rows") as refused:
+        table.check()
+    assert refused.value.counts == BROKEN
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert dict(written.dtypes) == {"k": "bigint", "d": "date", "a": "decimal(5,2)"}
+    assert sorted((r.k for r in written.collect()), key=str) == [1, 4, None, None]
+    assert {r.rule: r.violations for r in tables.violations(raw, DECLARED).collect()} == BROKEN
+
+
+def test_a_sound_table_passes(spark):
+    table = tables.watched(spark.createDataFrame(RAW[:1], "k string, d string, a string"), "things", DECLARED)
+    assert table.df.count() == 1
+    table.check()
+    assert set(table.counts().values()) == {0}
+
+
+def test_a_missing_required_value_fails_the_load(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "o_orderkey long, o_custkey long").selectExpr(
+        "*", "'O' AS o_orderstatus", "1.5D AS o_totalprice", "timestamp_ntz'2020-01-02 03:04:05' AS o_orderdate"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    with pytest.raises(Exception, match="orders.o_custkey must not be NULL"):
+        tables.load_table(spark, "orders", tables.ParquetSource(str(tmp_path))).collect()
 
 
 def test_merged_lines_give_the_same_results(spark):

@@ -1,6 +1,8 @@
+import re
+
 import numpy as np
 import pytest
-from conftest import by, money
+from conftest import by, money, plan_of
 
 from tiercurve.functions.text import percent_text
 from tiercurve.operators import quantiles, stats
@@ -46,7 +48,7 @@ def test_box_stats_of_a_null_key(spark):
 
 def test_quantiles_of_a_null_key(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 4.0), (2, 9.0), (2, None)], "k int, v double")
-    got = quantiles.quantiles(df, ["k"], "v", {"med": 0.5}, 1)
+    got = quantiles.quantiles(df, ["k"], "v", {"med": 0.5}, 1).drop("mean")
     assert sorted(map(tuple, got.collect()), key=str) == [(2, 1, 9.0), (None, 2, 2.5)]
 
 
@@ -68,6 +70,43 @@ def test_percent_text(spark):
     assert [r[0] for r in df.select(percent_text(F.col("x"))).collect()] == ["12.2%", "12.4%", "1.0%", None]
 
 
+@pytest.mark.parametrize("width", [0.5, 40, 10**6])
+def test_box_stats_against_numpy(spark, width):
+    rng = np.random.default_rng(4)
+    groups = {
+        "wide": np.r_[rng.normal(0, 300, 400), rng.normal(0, 3000, 40)].round(2),
+        "hot": np.r_[np.full(300, 77.5), rng.exponential(50, 150).round(2), [1e6, -1e6]],
+        "far": np.array([1.0, 2, 3, 4, 1000, 2000, -5000]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = by(stats.box_stats(df, ["k"], "v", width), "k")
+    for k, vs in groups.items():
+        q1, med, q3 = np.quantile(vs, [0.25, 0.5, 0.75])
+        inside = vs[(vs >= q1 - 1.5 * (q3 - q1)) & (vs <= q3 + 1.5 * (q3 - q1))]
+        want = [len(vs), q1, med, q3, min(inside.min(), q1), max(inside.max(), q3), len(vs) - len(inside)]
+        assert np.allclose([got[k][c] for c in ("n", "q1", "med", "q3", "lo", "hi", "n_out")], want, rtol=0, atol=1e-9)
+
+
+def test_box_stats_take_few_exchanges(spark, make_his):
+    his = make_his((1, "2020-02", 1, 1000))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(stats.monthly_box_stats(his.repartition("customer_id")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Copies of the same exchange are run once.
+    exchanges = {re.sub(r"#\d+L?", "", line.split("Exchange ")[1].split(", [plan_id")[0]) for line in plan.splitlines() if "Exchange " in line}
+    assert len(exchanges) <= 10, exchanges
+
+
+def test_medians_of_columns_side_by_side(spark):
+    df = spark.createDataFrame([("a", 1, 10.0, 2), ("a", 5, None, 1), ("b", 7, 3.0, 1)], "k string, x int, y double, w int")
+    got = by(quantiles.medians(df, ["k"], ["x", "y"], 10, "w"), "k")
+    assert got["a"] == {"k": "a", "n_x": 3, "mean_x": 7 / 3, "med_x": 1.0, "n_y": 2, "mean_y": 10.0, "med_y": 10.0}
+    assert got["b"]["med_y"] == 3.0
+    assert [tuple(r) for r in quantiles.medians(df.where("false"), [], ["x"], 10).collect()] == [(None, None, None)]
+
+
 @pytest.mark.parametrize("width", [0.5, 50, 10**6])
 def test_quantiles_against_numpy(spark, width):
     rng = np.random.default_rng(3)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tiercurve.functions.text import percent_text
-from tiercurve.operators.quantiles import COUNT_STEP, merge_rows, quantiles
+from tiercurve.operators.quantiles import medians
 from tiercurve.operators.running import (
     ABOVE_ALL,
     BELOW_ALL,
@@ -18,57 +17,47 @@ from tiercurve.operators.running import (
     cell_offsets,
     with_steps,
 )
-from tiercurve.operators.skew import SALT, spread_join
+from tiercurve.operators.skew import hot_join
 from tiercurve.operators.stats import AMOUNT_STEP
 
-POLICY_COLUMNS = ("gb", "grd_cd", "grd_nm", "std_ord", "std_amt")
-SMALL_POLICY = 100
-SMALL_BAND = 100
-IDS_PER_CELL = 100_000
+GRADE_COLUMNS = ("grd_cd", "grd_nm", "std_ord", "std_amt")
+MOST_POLICY_ROWS = 100_000
+ID_BITS = 21
 VIP = 10
 
 
-def _matches_of_small_policy(his: DataFrame, policy: Sequence[Row], schema: T.StructType) -> DataFrame:
-    """Best grade per row and case as one CASE expression per case: no join, no shuffle."""
-    best: dict[str, Column] = {}
-    for row in sorted(policy, key=lambda r: r["grd_cd"]):
-        met = (F.col("cnt_order") >= row["std_ord"]) & (F.col("sum_amt") >= row["std_amt"])
-        grade = F.struct(*(F.lit(row[name]) for name in schema.names)).cast(schema)
-        best[row["gb"]] = best[row["gb"]].when(met, grade) if row["gb"] in best else F.when(met, grade)
-    return his.select("*", F.inline(F.array(*best.values()))).where(F.col("grd_cd").isNotNull())
+def _thresholds(policy: DataFrame) -> Column:
+    """All policy cases as one value: per case its grades with their thresholds, best grade first.
 
-
-def _matches_by_join(his: DataFrame, policy: DataFrame) -> DataFrame:
-    """All grades met, by a join on the two thresholds; Spark chooses how to run it."""
-    met = (F.col("h.cnt_order") >= F.col("p.std_ord")) & (F.col("h.sum_amt") >= F.col("p.std_amt"))
-    return his.alias("h").join(policy.alias("p"), met)
+    A policy is a table of settings; one of more than ``MOST_POLICY_ROWS`` rows fails the job.
+    """
+    cases = policy.groupBy("gb").agg(F.sort_array(F.collect_list(F.struct(*GRADE_COLUMNS))).alias("grades"))
+    size = F.sum(F.size("grades"))
+    whole = F.collect_list(F.struct("gb", "grades"))
+    refusal = F.raise_error(F.format_string(f"a policy has at most {MOST_POLICY_ROWS} rows, not %d", size))
+    checked = F.when(size > MOST_POLICY_ROWS, refusal.cast("boolean")).otherwise(True)
+    return cases.agg(F.when(checked, whole).alias("cases")).scalar()
 
 
-def grade_label(
-    his: DataFrame,
-    policy: DataFrame,
-    his_is_unique: bool = False,
-    small_policy: int = SMALL_POLICY,
-) -> DataFrame:
+def grade_label(his: DataFrame, policy: DataFrame) -> DataFrame:
     """Best grade (lowest ``grd_cd``) per customer, month and policy case.
 
     A customer has a grade if both thresholds are met; who meets none in a case is absent
-    from it. A policy of at most ``small_policy`` rows is read first and becomes part of the
-    plan as CASE expressions; a larger one is joined.
-
-    ``his_is_unique`` states that ``his`` has one row per customer and month, as
-    ``customer_period_summary`` makes it. Then a small policy needs no shuffle at all.
+    from it. The policy is read once, when the result is computed, and searched within each row, so
+    labelling needs no join whatever the policy's size. Of repeated customer-months one row stays:
+    that of the best grade, then most orders, then highest amount. Rows already placed by
+    customer, as ``customer_period_summary`` leaves them, are not shuffled.
     """
-    policy = policy.select(*POLICY_COLUMNS)
-    rows = policy.head(small_policy + 1)
-    if 0 < len(rows) <= small_policy:
-        matches = _matches_of_small_policy(his, rows, policy.schema)
-        if his_is_unique:
-            return matches.withColumn("rn", F.lit(1))
-    else:
-        matches = _matches_by_join(his, policy)
-    best = Window.partitionBy("customer_id", "std_ym", "gb").orderBy("grd_cd")
-    return matches.withColumn("rn", F.row_number().over(best)).where(F.col("rn") == 1)
+
+    def best(case: Column) -> Column:
+        met = F.filter(case["grades"], lambda g: (F.col("cnt_order") >= g["std_ord"]) & (F.col("sum_amt") >= g["std_amt"]))
+        return F.struct(case["gb"].alias("gb"), F.get(met, F.lit(0)).alias("best"))
+
+    ruled = his.withColumn("_policy", _thresholds(policy))
+    matches = ruled.select(*his.columns, F.explode(F.transform("_policy", best)).alias("_case")).where(F.col("_case.best").isNotNull())
+    matches = matches.select(*his.columns, "_case.gb", "_case.best.*")
+    first = Window.partitionBy("customer_id", "std_ym", "gb").orderBy("grd_cd", F.desc("cnt_order"), F.desc("sum_amt"))
+    return matches.withColumn("rn", F.row_number().over(first)).where(F.col("rn") == 1)
 
 
 def graded_base(labels: DataFrame, gb: str = "case1") -> DataFrame:
@@ -76,31 +65,27 @@ def graded_base(labels: DataFrame, gb: str = "case1") -> DataFrame:
     return labels.where(F.col("gb") == gb).groupBy("std_ym").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _grade_counts(labels: DataFrame, base: DataFrame | None, base_gb: str) -> DataFrame:
-    """Customers per month, grade and case with the month's base ``n``.
+def _grade_counts(labels: DataFrame, base_gb: str, hidden: bool) -> DataFrame:
+    """Customers per month, grade and case with the month's base ``n``, the graded customers of ``base_gb``.
 
-    Without ``base`` the base is taken from the counts themselves, which reads ``labels`` once.
+    The base is taken from the counts themselves, so ``labels`` is read once. A ``hidden`` base case
+    gives the base and no rows.
     """
     counts = labels.groupBy("std_ym", "grd_cd", "grd_nm", "gb").agg(F.count(F.lit(1)).alias("cnt"))
-    if base is not None:
-        return counts.join(base.select("std_ym", "n"), "std_ym")
-    month = Window.partitionBy("std_ym")
-    graded = F.sum(F.when(F.col("gb") == base_gb, F.col("cnt"))).over(month)
-    return counts.withColumn("n", graded).where(F.col("n").isNotNull())
+    graded = F.sum(F.when(F.col("gb") == base_gb, F.col("cnt"))).over(Window.partitionBy("std_ym"))
+    based = counts.withColumn("n", graded).where(F.col("n").isNotNull())
+    return based.where(F.col("gb") != base_gb) if hidden else based
 
 
 def grade_mix_ratio(
-    labels: DataFrame,
-    cases: Mapping[str, str],
-    base: DataFrame | None = None,
-    base_gb: str = "case1",
+    labels: DataFrame, cases: Mapping[str, str], base_gb: str = "case1", hidden_base: bool = False
 ) -> DataFrame:
     """Counts per month and grade with one column per case, and their shares of the base.
 
     ``cases`` maps each case to the prefix of its share column. A grade absent from a case
-    has a NULL count and share there. ``base`` is ``graded_base`` of other labels, if given.
+    has a NULL count and share there. With ``hidden_base`` the case ``base_gb`` is the base only.
     """
-    counts = _grade_counts(labels, base, base_gb)
+    counts = _grade_counts(labels, base_gb, hidden_base)
     wide = counts.groupBy("std_ym", "grd_cd", "grd_nm", "n").pivot("gb", list(cases)).agg(F.max("cnt"))
     return wide.select(
         "std_ym",
@@ -113,25 +98,19 @@ def grade_mix_ratio(
 
 
 def grade_mix_percent(
-    labels: DataFrame,
-    cases: Mapping[str, str],
-    base: DataFrame | None = None,
-    base_gb: str = "case1",
+    labels: DataFrame, cases: Mapping[str, str], base_gb: str = "case1", hidden_base: bool = False
 ) -> DataFrame:
     """``grade_mix_ratio`` with the shares as text such as ``12.3%``."""
-    mix = grade_mix_ratio(labels, cases, base, base_gb)
+    mix = grade_mix_ratio(labels, cases, base_gb, hidden_base)
     texts = {f"{p}_prop": percent_text(F.col(f"{p}_prop")) for p in cases.values()}
     return mix.withColumns(texts)
 
 
 def vip_share_by_month(
-    labels: DataFrame,
-    base: DataFrame | None = None,
-    grd_cd: int = VIP,
-    base_gb: str = "case1",
+    labels: DataFrame, grd_cd: int = VIP, base_gb: str = "case1", hidden_base: bool = False
 ) -> DataFrame:
     """Share of one grade per month and case."""
-    counts = _grade_counts(labels, base, base_gb)
+    counts = _grade_counts(labels, base_gb, hidden_base)
     return counts.where(F.col("grd_cd") == grd_cd).withColumn("prop", F.col("cnt") / F.col("n"))
 
 
@@ -148,7 +127,7 @@ def target_headcount(base: DataFrame, share: float) -> DataFrame:
     )
 
 
-def _rows_near_band(
+def _cells_in_band(
     rows: DataFrame,
     part: Sequence[str],
     levels: Sequence[dict[str, str]],
@@ -157,75 +136,64 @@ def _rows_near_band(
     lo: int,
     hi: int,
 ) -> DataFrame:
-    """Rows in the cells that overlap the open rank interval; ``before`` is the rank before a cell.
-
-    ``before_part`` is the rank before ``part``. Every kept cell holds a row of the band, so a
-    month keeps at most ``hi - lo - 1`` of them.
-    """
+    """Cells of ``rows`` that overlap the open rank interval, with their rows ``_n`` and the rank before them."""
     keys = [*part, *(name for level in levels for name in level)]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    kept = (
-        cell_offsets(counts, part, levels, ["_n"])
-        .withColumn(before, before_part + F.col("_n_before"))
-        .where((F.col(before) + 1 < hi) & (F.col(before) + F.col("_n") > lo))
-        .select(*keys, before)
-    )
-    if hi - lo <= SMALL_BAND:
-        return rows.join(F.broadcast(kept), keys)
-    return spread_join(rows, kept, keys, ["customer_id"]).drop(SALT)
+    placed = cell_offsets(counts, part, levels, ["_n"]).withColumn(before, before_part + F.col("_n_before"))
+    return placed.where((F.col(before) + 1 < hi) & (F.col(before) + F.col("_n") > lo)).select(*keys, before, "_n")
 
 
-def rank_band(
-    labels: DataFrame, lo: int, hi: int, gb: str = "case1", newest_first: bool = False
-) -> DataFrame:
-    """Customers whose rank in their month lies strictly between ``lo`` and ``hi``.
+def _band(labels: DataFrame, lo: int, hi: int, gb: str) -> DataFrame:
+    """The rows of ``rank_band``, unsorted.
 
-    Ranked by grade, then most orders, then highest amount, then customer id; NULLs last. A
-    month is not sorted as a whole: counts per cell of the ordering tell which cells reach into
-    the band, first for grade, orders and amount, then for customer ids within an amount.
-    Only those cells are ranked, each on its own.
+    A month is not sorted as a whole. Counts per cell of the ordering tell which cells reach into the band, and
+    only their rows go on: first cells of grade, orders and step of the amount, then of the amount itself and the
+    upper and middle bits of the customer id. What is ranked at last are the rows of one amount whose ids differ in
+    their last ``ID_BITS`` bits only, whatever the ids and the ties.
     """
-    columns = labels.columns
+    number = F.col("customer_id").cast("long")
+    nobody = F.lit(1 << (64 - 2 * ID_BITS)).cast("long")  # after every customer
     rows = (
         with_steps(labels.where(F.col("gb") == gb), "sum_amt", AMOUNT_STEP, BELOW_ALL)
         .withColumn("_grade", F.coalesce(F.col("grd_cd").cast("long"), F.lit(ABOVE_ALL)))
         .withColumn("_orders", F.coalesce(F.col("cnt_order").cast("long"), F.lit(BELOW_ALL)))
-        .withColumn("_id", F.coalesce(F.col("customer_id"), F.lit(ABOVE_ALL)))
-        .withColumn("_ids", F.coalesce(F.expr(f"_id div {IDS_PER_CELL}"), F.lit(0)))
+        .withColumn("_high", F.coalesce(F.shiftright(number, 2 * ID_BITS), nobody))
+        .withColumn("_mid", F.coalesce(F.shiftright(number, ID_BITS).bitwiseAND(F.lit((1 << ID_BITS) - 1)), F.lit(0).cast("long")))
     )
-    coarse = [{"_grade": "asc", "_orders": "desc", STEP: "desc"}]
-    near = _rows_near_band(rows, ["std_ym"], coarse, F.lit(0), "_before", lo, hi)
-    cell = ["std_ym", "_grade", "_orders", STEP, "_before"]
-    fine = [{POINT: "desc"}, {"_ids": "asc"}]
-    nearest = _rows_near_band(near, cell, fine, F.col("_before"), "_start", lo, hi)
-    in_cell = Window.partitionBy(*cell, POINT, "_ids").orderBy("_id")
+    coarse = ["std_ym", "_grade", "_orders", STEP]
+    levels = [{"_grade": "asc", "_orders": "desc", STEP: "desc"}]
+    cells = _cells_in_band(rows, ["std_ym"], levels, F.lit(0), "_before", lo, hi)
+    near = hot_join(rows, cells, coarse, "_n", ["customer_id"]).drop("_n")
+    cell = [*coarse, "_before"]
+    fine = [POINT, "_high", "_mid"]
+    levels = [{POINT: "desc"}, {"_high": "asc"}, {"_mid": "asc"}]
+    cells = _cells_in_band(near, cell, levels, F.col("_before"), "_start", lo, hi).drop("_n")
+    nearest = near.join(cells, [*cell, *fine])
+    in_cell = Window.partitionBy(*cell, *fine).orderBy(F.col("customer_id").asc_nulls_last())
     rank = (F.col("_start") + F.row_number().over(in_cell)).cast("int")
-    band = nearest.withColumn("_rank", rank).where((F.col("_rank") > lo) & (F.col("_rank") < hi))
-    month = F.col("std_ym").desc_nulls_last() if newest_first else F.col("std_ym").asc_nulls_last()
     # Replaces the ``rn`` of the labels, which is 1 throughout.
-    return band.withColumn("rn", F.col("_rank")).select(
-        *columns, *(["rn"] if "rn" not in columns else [])
-    ).orderBy(month, "rn")
+    ranked = nearest.withColumn("rn", rank).where((F.col("rn") > lo) & (F.col("rn") < hi))
+    return ranked.select(*labels.columns, *(["rn"] if "rn" not in labels.columns else []))
+
+
+def rank_band(
+    labels: DataFrame, lo: int, hi: int, gb: str = "case1", newest_first: bool = False
+) -> DataFrame:
+    """Customers whose rank in their month lies strictly between ``lo`` and ``hi``.
+
+    Ranked by grade, then most orders, then highest amount, then customer id; NULLs last.
+    """
+    month = F.col("std_ym").desc_nulls_last() if newest_first else F.col("std_ym").asc_nulls_last()
+    return _band(labels, lo, hi, gb).orderBy(month, "rn")
 
 
 def rank_band_stats(labels: DataFrame, lo: int, hi: int, gb: str = "case1") -> DataFrame:
     """Mean and median of orders and amount over a rank band."""
-    band = rank_band(labels, lo, hi, gb).select("cnt_order", F.col("sum_amt").cast("double"))
-    means = [
-        F.avg("cnt_order").alias("avg_cnt_ord"),
-        F.avg("sum_amt").alias("avg_sum_amt"),
-    ]
-    if hi - lo <= SMALL_BAND:
-        return band.agg(
-            *means,
-            F.median("cnt_order").alias("med_cnt_ord"),
-            F.median("sum_amt").alias("med_sum_amt"),
-        )
-    return merge_rows(
-        [
-            band.agg(*means),
-            quantiles(band, [], "cnt_order", {"med_cnt_ord": 0.5}, COUNT_STEP).drop("n"),
-            quantiles(band, [], "sum_amt", {"med_sum_amt": 0.5}, AMOUNT_STEP).drop("n"),
-        ],
-        [],
+    band = _band(labels, lo, hi, gb).select("cnt_order", "sum_amt")
+    found = medians(band, [], ["cnt_order", "sum_amt"], AMOUNT_STEP)
+    return found.select(
+        F.col("mean_cnt_order").alias("avg_cnt_ord"),
+        F.col("mean_sum_amt").alias("avg_sum_amt"),
+        F.col("med_cnt_order").alias("med_cnt_ord"),
+        "med_sum_amt",
     )

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiercurve.functions.months import month_number, month_number_of, month_text
-from tiercurve.operators.quantiles import COUNT_STEP, merge_rows, quantiles
-from tiercurve.operators.skew import SALT, spread_join
+from tiercurve.operators.quantiles import medians
 from tiercurve.schemas import MONEY_SUM
 
 
@@ -15,18 +14,29 @@ def net_orders(tx: DataFrame, *grain: str, within: Column | None = None) -> Data
     """Lines of transactions without any return line, summed per transaction and customer.
 
     One line with ``qty < 0`` drops the whole transaction; lines without a transaction id
-    are kept. The lines are summed before they are joined, so that a transaction with a huge
-    number of lines is a few rows by then. ``grain`` adds grouping columns. ``within`` restricts
-    the lines that are summed, but not those looked at for returns.
+    are kept. Returns are marked as the lines are summed, which alone drops what a customer returned
+    of their own transaction. What is left to look up are transactions of several customers (or
+    several values of ``grain``) with a return among them: at most one row for each transaction, and
+    none where transactions are not shared. ``grain`` adds grouping columns. ``within`` restricts the
+    lines that are summed, but not those looked at for returns.
     """
-    lines = tx if within is None else tx.where(within)
-    orders = lines.groupBy("transaction_id", "customer_id", *grain).agg(
-        F.sum("total_amt").alias("sum_amt"),
-        F.min("tran_date").alias("fst_dt"),
-        F.max("tran_date").alias("lst_dt"),
+    counted = F.lit(True) if within is None else F.coalesce(within, F.lit(False))
+    groups = tx.groupBy("transaction_id", "customer_id", *grain).agg(
+        F.sum(F.when(counted, F.col("total_amt"))).alias("sum_amt"),
+        F.min(F.when(counted, F.col("tran_date"))).alias("fst_dt"),
+        F.max(F.when(counted, F.col("tran_date"))).alias("lst_dt"),
+        F.max(counted).alias("_counted"),
+        F.max(F.coalesce(F.col("qty") < 0, F.lit(False)) & F.col("transaction_id").isNotNull()).alias("_returned"),
     )
-    returned = tx.where(F.col("qty") < 0).select("transaction_id").distinct()
-    return spread_join(orders, returned, ["transaction_id"], ["customer_id"], "left_anti")
+    shared = (
+        groups.where(F.col("transaction_id").isNotNull())
+        .groupBy("transaction_id")
+        .agg(F.max("_returned").alias("_returned"), F.count(F.lit(1)).alias("_groups"))
+        .where(F.col("_returned") & (F.col("_groups") > 1))
+        .select("transaction_id")
+    )
+    kept = groups.where(F.col("_counted") & ~F.col("_returned")).drop("_counted", "_returned")
+    return kept.join(shared, "transaction_id", "left_anti")
 
 
 def net_customer_summary(tx: DataFrame) -> DataFrame:
@@ -77,17 +87,14 @@ def repeat_purchase_cycle(lifetime: DataFrame, by: str | None = None) -> DataFra
         .agg(F.count(F.lit(1)).alias("weight"))
         .withColumn("period", F.col("diff_days") / (F.col("cnt_ord") - 1))
     )
-    timed = F.when(F.col("period").isNotNull(), F.col("weight"))
-    means = cells.groupBy(*groups).agg(
-        F.coalesce(F.sum("weight"), F.lit(0)).alias("n"),
-        F.try_divide(F.sum(F.col("cnt_ord") * F.col("weight")), F.sum("weight")).alias("per_ord"),
-        F.try_divide(F.sum(F.col("period") * F.col("weight")), F.sum(timed)).alias("avg_period"),
-    )
-    med_ord = quantiles(cells, groups, "cnt_ord", {"med_ord": 0.5}, COUNT_STEP, "weight").drop("n")
-    med_period = quantiles(cells, groups, "period", {"med_period": 0.5}, 1, "weight").drop("n")
-    columns = ["n", "per_ord", "med_ord", "avg_period", "med_period"]
-    return merge_rows([means, med_ord, med_period], groups).select(
-        *(F.col(g).alias(by) for g in groups), *columns
+    found = medians(cells, groups, ["cnt_ord", "period"], 1, "weight")
+    return found.select(
+        *(F.col(g).alias(by) for g in groups),
+        F.coalesce("n_cnt_ord", F.lit(0)).alias("n"),
+        F.col("mean_cnt_ord").alias("per_ord"),
+        F.col("med_cnt_ord").alias("med_ord"),
+        F.col("mean_period").alias("avg_period"),
+        F.col("med_period").alias("med_period"),
     )
 
 
@@ -111,37 +118,42 @@ def customer_period_summary(
     if last_ym is not None:
         within &= day < F.add_months(F.lit(f"{last_ym}-01").cast("date"), 1)
     dated = net_orders(tx.withColumn("ym", month_number(day)), "ym", within=within)
-    # An order counts from its month until it appears again or its window ends. The salt is
-    # in the keys so that the partitioning of the join above serves this window too.
-    same_order = Window.partitionBy("transaction_id", SALT, "customer_id").orderBy("ym")
-    until_next = F.lead("ym").over(same_order) - F.col("ym")
-    span = F.least(F.coalesce(until_next, F.lit(window_months)), F.lit(window_months))
+    # An order counts once however often it appears within a window: it begins to count where it has
+    # not appeared for a window's length, and ends where it does not appear again within one.
+    same_order = Window.partitionBy("transaction_id", "customer_id").orderBy("ym")
+    wide = F.lit(window_months)
+    named = F.col("transaction_id").isNotNull()
+    begins = named & (F.coalesce(F.col("ym") - F.lag("ym").over(same_order), wide) >= wide)
+    ends = named & (F.coalesce(F.lead("ym").over(same_order) - F.col("ym"), wide) >= wide)
     monthly = (
-        dated.withColumn("span", span)
-        .groupBy("customer_id", "ym", "span")
-        .agg(F.count("transaction_id").alias("cnt"), F.sum("sum_amt").alias("amt"))
+        dated.withColumns({"begins": begins.cast("long"), "ends": ends.cast("long")})
+        .groupBy("customer_id", "ym")
+        .agg(*(F.sum(c).alias(c) for c in ("begins", "ends", "sum_amt")))
+    )
+    # What a month adds when it enters the window, and takes away when it leaves. A customer has at
+    # most two such rows per month, so their running sums are one small window.
+    zero = F.lit(0).cast("long")
+    changes = F.array(
+        F.struct(F.col("ym").alias("at"), F.lit(1).alias("months"), F.col("begins").alias("cnt"), F.col("sum_amt").alias("amt")),
+        F.struct((F.col("ym") + wide).alias("at"), F.lit(-1).alias("months"), (zero - F.col("ends")).alias("cnt"), (-F.col("sum_amt")).alias("amt")),
+    )
+    by_month = Window.partitionBy("customer_id").orderBy("at")
+    upto = by_month.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = monthly.select("customer_id", F.inline(changes)).select(
+        "customer_id",
+        "at",
+        (F.lead("at").over(by_month) - 1).alias("last"),
+        *(F.sum(c).over(upto).alias(c) for c in ("months", "cnt", "amt")),
     )
-    first = F.col("ym")
-    last = F.col("ym") + F.lit(window_months - 1)
+    first, last = F.col("at"), F.col("last")
     if first_ym is not None:
         first = F.greatest(first, F.lit(month_number_of(first_ym)))
     if last_ym is not None:
         last = F.least(last, F.lit(month_number_of(last_ym)))
-    # A customer has at most a row per month and span here: placed together by customer, they
-    # can be spread to their months and summed again without a further shuffle. The number of
-    # partitions is given, lest it be reduced to fit the rows before they are spread.
-    conf = tx.sparkSession.conf
-    initial = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-    partitions = int(initial or conf.get("spark.sql.shuffle.partitions"))
-    return (
-        monthly.repartition(partitions, "customer_id")
-        .withColumn("std", F.explode(F.sequence(first, last, F.lit(1))))
-        .groupBy("customer_id", "std")
-        .agg(
-            F.sum(F.when(F.col("std") < F.col("ym") + F.col("span"), F.col("cnt")).otherwise(0)).alias(
-                "cnt_order"
-            ),
-            F.sum("amt").cast(MONEY_SUM).alias("sum_amt"),
-        )
-        .select("customer_id", month_text(F.col("std")).alias("std_ym"), "cnt_order", "sum_amt")
+    held = running.where((F.col("months") > 0) & (first <= last))
+    return held.select("customer_id", F.explode(F.sequence(first, last)).alias("std"), "cnt", "amt").select(
+        "customer_id",
+        month_text(F.col("std")).alias("std_ym"),
+        F.col("cnt").alias("cnt_order"),
+        F.col("amt").cast(MONEY_SUM).alias("sum_amt"),
     )

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiercurve.operators.running import ABOVE_ALL, POINT, STEP, running_totals, with_steps
-from tiercurve.operators.skew import SALT, salt_of
+from tiercurve.operators.skew import hot_join
 from tiercurve.operators.stats import AMOUNT_STEP
 from tiercurve.schemas import MONEY_SUM
 
-SALTS = 64
-
 
 def pareto_curve(tx: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
     """Per year and customer: share of customers and revenue, and both running by revenue.
@@ -32,19 +30,15 @@ def pareto_curve(tx: DataFrame, years: Sequence[int] | None = None) -> DataFrame
     yearly = dated.groupBy("customer_id", F.year("tran_date").alias("yyyy")).agg(
         F.sum("total_amt").cast(MONEY_SUM).alias("sum_amt")
     )
-    # The row without a customer has a salt of its own: it runs along but is not a customer.
-    salt = F.when(F.col("customer_id").isNull(), SALTS).otherwise(salt_of(["customer_id"], SALTS))
-    customers = with_steps(yearly, "sum_amt", AMOUNT_STEP, ABOVE_ALL).withColumn(SALT, salt)
-    # Equal amounts are merged per salt: an amount that very many customers share is at most
-    # SALTS + 1 rows here, and its customers meet their running value in that many tasks.
-    peers = (
-        customers.groupBy("yyyy", STEP, POINT, SALT)
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("sum_amt").alias("amt"))
-        .withColumn("cust", F.when(F.col(SALT) < SALTS, F.col("rows")).otherwise(0))
+    customers = with_steps(yearly, "sum_amt", AMOUNT_STEP, ABOVE_ALL)
+    # Equal amounts are one row each; the row without a customer runs along but is not a customer.
+    keys = ["yyyy", STEP, POINT]
+    peers = customers.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("customer_id").alias("cust"), F.sum("sum_amt").alias("amt")
     )
     totals = running_totals(peers, ["yyyy"], ["rows", "cust", "amt"], "desc")
-    keys = ["yyyy", STEP, POINT, SALT]
-    placed = customers.join(totals.select(*keys, "rows_run", "cust_all", "amt_run", "amt_all"), keys)
+    running = totals.select(*keys, "rows", "rows_run", "cust_all", "amt_run", "amt_all")
+    placed = hot_join(customers, running, keys, "rows", ["customer_id"])
     tot_cust = F.col("cust_all").cast("double")
     tot_amt = F.col("amt_all").cast("double")
     return placed.select(

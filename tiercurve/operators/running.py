@@ -79,9 +79,8 @@ def running_totals(
 ) -> DataFrame:
     """Running and total sums of ``measures`` by ``_point`` within ``part``.
 
-    ``peers`` comes from ``with_steps`` followed by a ``groupBy`` on ``part``, the step, the
-    point and, if hot values are to be split, a salt. Rows with the same point share a running
-    value, as under SQL's default frame. Adds ``<m>_run`` and ``<m>_all``.
+    ``peers`` comes from ``with_steps`` followed by a ``groupBy`` on ``part``, the step and the
+    point. Adds ``<m>_run`` and ``<m>_all``.
     """
     keys = [*part, STEP]
     steps = peers.groupBy(*keys).agg(*(F.sum(m).alias(m) for m in measures))

@@ -4,36 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALT = "_salt"
+HOT = 1000
+_SPREAD = "_spread"
 
 
-def salt_of(spread: Sequence[str], salts: int) -> Column:
-    """A salt computed from the row itself, so that a retried task gives the same one.
-
-    Never NULL, and known to the plan as such: a join then adds no null check that would reach
-    into one copy of a shared subplan and keep the copies from being computed once.
-    """
-    return F.coalesce(F.pmod(F.xxhash64(*spread), F.lit(salts)), F.lit(0).cast("long"))
-
-
-def spread_join(
+def hot_join(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
+    weight: str,
     spread: Sequence[str],
-    how: str = "inner",
-    salts: int = 8,
+    hot: int = HOT,
 ) -> DataFrame:
-    """Equi join in which each key of ``big`` is split over ``salts`` tasks.
+    """Inner join of ``big`` with one row per key of ``small``, whose ``weight`` is the key's rows in ``big``.
 
-    ``spread`` names the columns of ``big`` that tell rows of one key apart. ``small`` is
-    repeated once per salt. The salt column stays in the result: the rows remain
-    partitioned by ``on`` and the salt, which a later operator may use.
+    The ``hot`` heaviest keys, at most so many rows, are looked up by broadcast. Their rows go to the
+    shuffle under keys of their own, made from the columns ``spread``, and meet nothing there; the
+    other keys meet their row. So no task gets more than one part in ``hot`` of all rows by one key.
+    ``on`` is non-null. The result has the columns of ``big`` and the other ones of ``small``.
     """
-    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    return big.withColumn(SALT, salt_of(spread, salts)).join(
-        small.withColumn(SALT, every_salt), [*on, SALT], how
-    )
+    rest = [c for c in small.columns if c not in on]
+    values = F.struct(*rest)
+    heaviest = small.orderBy(F.col(weight).desc(), *on).limit(hot).select(*on, values.alias("_hot"))
+    apart = F.when(F.col("_hot").isNotNull(), F.coalesce(F.xxhash64(*spread), F.lit(0).cast("long")).bitwiseOR(F.lit(1)))
+    looked_up = big.join(F.broadcast(heaviest), list(on), "left").withColumn(_SPREAD, F.coalesce(apart, F.lit(0).cast("long")))
+    others = small.select(*on, F.lit(0).cast("long").alias(_SPREAD), values.alias("_cold"))
+    met = looked_up.join(others, [*on, _SPREAD], "left").withColumn("_hot", F.coalesce("_hot", "_cold"))
+    return met.where(F.col("_hot").isNotNull()).select(*big.columns, "_hot.*")

@@ -12,9 +12,9 @@ from tiercurve.operators.quantiles import (
     COUNT,
     KEY,
     counted_points,
+    placed_steps,
     quantiles,
-    quantiles_of_points,
-    with_key,
+    quantiles_of_steps,
     without_key,
 )
 from tiercurve.operators.running import POINT, STEP
@@ -46,23 +46,30 @@ def box_stats(
     most extreme other value, or at the box where that value lies inside the box. A NULL key is
     a group like any other.
     """
-    part = [KEY] if keys else []
-    points = counted_points(with_key(df, keys), part, value, width)
-    box = quantiles_of_points(points, part, QUARTILES)
-    # The box reaches its values step by step, not key by key: no key is one task, and the
-    # points are partitioned by key and step already. Steps of NULL values count 0.
-    steps = points.groupBy(*part, STEP).agg(F.sum(COUNT).alias(COUNT)).where(F.col(COUNT) > 0)
-    placed = points.join(steps.drop(COUNT).join(box, part), [*part, STEP])
-    x = F.col(POINT).cast("double")
+    points = counted_points(df, keys, value, width)
+    placed = placed_steps(points)
+    box = quantiles_of_steps(points, placed, QUARTILES)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
+    fenced = placed.drop("n", "mean").join(box, KEY).withColumns({"_from": F.col("q1") - reach, "_to": F.col("q3") + reach})
+
+    def inside(least, most):
+        return (least >= F.col("_from")) & (most <= F.col("_to"))
+
+    # A step lies inside the fences or outside them as a whole, but for those that hold a fence: only
+    # their values are read again.
+    split = (F.col("_low") < F.col("_from")) & (F.col("_high") >= F.col("_from")) | (F.col("_low") <= F.col("_to")) & (F.col("_high") > F.col("_to"))
+    steps = fenced.select(KEY, F.col(STEP).alias("_at"), F.col(COUNT).alias("_all"), "n", *QUARTILES, "_low", "_high", "_from", "_to", split.alias("_split"))
+    again = points.where(F.col(COUNT) > 0).select(F.col(KEY).alias("_of"), STEP, F.col(POINT).cast("double").alias("_x"), COUNT)
+    cells = steps.join(again, (F.col(KEY) == F.col("_of")) & (F.col("_at") == F.col(STEP)) & F.col("_split"), "left")
+    low, high = F.coalesce("_x", "_low"), F.coalesce("_x", "_high")
+    kept = inside(low, high)
     stats = (
-        placed.groupBy(*part)
+        cells.groupBy(KEY)
         .agg(
             *(F.max(c).alias(c) for c in ("n", *QUARTILES)),
-            F.min(F.when(inside, x)).alias("lo"),
-            F.max(F.when(inside, x)).alias("hi"),
-            F.sum(F.when(inside, 0).otherwise(F.col(COUNT))).alias("n_out"),
+            F.min(F.when(kept, low)).alias("lo"),
+            F.max(F.when(kept, high)).alias("hi"),
+            F.sum(F.when(kept, 0).otherwise(F.coalesce(F.col(COUNT), F.col("_all")))).alias("n_out"),
         )
         .withColumn("lo", F.least("lo", "q1"))
         .withColumn("hi", F.greatest("hi", "q3"))

@@ -190,6 +190,19 @@ SELECT round(avg(cnt_order), 6) AS avg_cnt_ord,
 FROM ranked WHERE rn > {lo} AND rn < {hi}"""
 
 
+def _violations(table: str, **types: str) -> str:
+    """Rows that break a rule; a type in capitals is required."""
+    rules = []
+    for column, kind in types.items():
+        broken = f"{column} IS NOT NULL AND TRY_CAST({column} AS {kind}) IS NULL"
+        rules.append((f"{column} is no {kind.lower()}", broken))
+        if kind.isupper():
+            rules.append((f"{column} is NULL", f"{column} IS NULL"))
+    return " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, count(*) FILTER ({broken}) AS violations FROM {table}" for rule, broken in rules
+    )
+
+
 def _sql(*parts: str) -> str:
     *ctes, final = parts
     return "WITH " + ",".join(ctes) + "\n" + final.strip()
@@ -269,5 +282,17 @@ FROM (SELECT cnt_order, quantile_cont(CAST(sum_amt AS DOUBLE), 0.5) AS med
         "grade_policy_whatif_percent": _sql(*what_if, _MIX, _PERCENTS),
         "grade_policy_whatif_vip": _sql(*what_if, _VIP, "SELECT * FROM vip"),
         "grade_policy_whatif_average": _sql(*what_if, _VIP, average),
+        "rank_band_wide": _sql(*ranked, "SELECT * FROM ranked WHERE rn > 100 AND rn < 700 ORDER BY std_ym, rn"),
+        "rank_band_stats_wide": _sql(*ranked, _band_stats(100, 700)),
+        "load_orders": """SELECT o_orderkey, o_custkey, o_orderstatus,
+       CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate
+FROM orders""",
+        "order_violations": _violations(
+            "orders", o_orderkey="BIGINT", o_custkey="BIGINT", o_orderstatus="string",
+            o_totalprice="DECIMAL(18,2)", o_orderdate="DATE",
+        ),
+        "lineitem_violations": _violations(
+            "lineitem", l_orderkey="BIGINT", l_quantity="TINYINT", l_extendedprice="DECIMAL(6,2)"
+        ),
         "load_table": "SELECT * FROM nation",
     }

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tiercurve.operators import grades, orders, pareto, stats
 from tiercurve.plans.whatif import WhatIf, grade_policy_whatif
+from tiercurve.schemas import LINES, ORDERS
 from tiercurve.sources.retail import RIVAL, customer_grd_his, grade_policy, transactions
-from tiercurve.sources.tables import ParquetSource, load_table
+from tiercurve.sources.tables import ParquetSource, load_table, violations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +33,7 @@ def _lifetime(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    his = customer_grd_his(spark, sf_dir)
-    return grades.grade_label(his, grade_policy(spark), his_is_unique=True)
+    return grades.grade_label(customer_grd_his(spark, sf_dir), grade_policy(spark))
 
 
 def _base(spark, sf_dir):
@@ -46,7 +46,6 @@ def _whatif(spark, sf_dir) -> WhatIf:
         grade_policy(spark, "case1", RIVAL),
         grade_policy(spark, "case2"),
         CASES,
-        his_is_unique=True,
     )
 
 
@@ -125,5 +124,10 @@ def queries() -> dict[str, Query]:
         "grade_policy_whatif_percent": lambda s, d: _whatif(s, d).mix_percent,
         "grade_policy_whatif_vip": lambda s, d: _whatif(s, d).vip_share,
         "grade_policy_whatif_average": lambda s, d: _rounded(_whatif(s, d).vip_average, 9, "avg_prop"),
+        "rank_band_wide": lambda s, d: grades.rank_band(_labels(s, d), 100, 700),
+        "rank_band_stats_wide": lambda s, d: rank_band_stats(s, d, 100, 700),
+        "load_orders": lambda s, d: load_table(s, "orders", ParquetSource(d)),
+        "order_violations": lambda s, d: violations(ParquetSource(d).read(s, "orders"), ORDERS),
+        "lineitem_violations": lambda s, d: violations(ParquetSource(d).read(s, "lineitem"), LINES),
         "load_table": lambda s, d: load_table(s, "nation", ParquetSource(d)),
     }

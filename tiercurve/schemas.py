@@ -40,7 +40,28 @@ GRADE_POLICY = T.StructType(
     ]
 )
 
+#: The star schema's orders as the analyses want them: no missing key, days, amounts in cents.
+ORDERS = T.StructType(
+    [
+        T.StructField("o_orderkey", T.LongType(), nullable=False),
+        T.StructField("o_custkey", T.LongType(), nullable=False),
+        T.StructField("o_orderstatus", T.StringType()),
+        T.StructField("o_totalprice", MONEY, nullable=False),
+        T.StructField("o_orderdate", T.DateType(), nullable=False),
+    ]
+)
+
+#: Lines of cheap goods: what costs 10,000 or more does not fit.
+LINES = T.StructType(
+    [
+        T.StructField("l_orderkey", T.LongType(), nullable=False),
+        T.StructField("l_quantity", T.ByteType(), nullable=False),
+        T.StructField("l_extendedprice", T.DecimalType(6, 2), nullable=False),
+    ]
+)
+
 TABLES = {
+    "orders": ORDERS,
     "transactions": TRANSACTIONS,
     "customer_grd_his": CUSTOMER_GRD_HIS,
     "grade_policy": GRADE_POLICY,
