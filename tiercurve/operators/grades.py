@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiercurve.functions.text import percent_text
 from tiercurve.operators.quantiles import medians
-from tiercurve.operators.running import (
-    ABOVE_ALL,
-    BELOW_ALL,
-    POINT,
-    STEP,
-    cell_offsets,
-    with_steps,
-)
-from tiercurve.operators.skew import hot_join
+from tiercurve.operators.running import ABOVE_ALL, BELOW_ALL, cell_offsets
 from tiercurve.operators.stats import AMOUNT_STEP
 
 GRADE_COLUMNS = ("grd_cd", "grd_nm", "std_ord", "std_amt")
@@ -31,7 +23,8 @@ def _thresholds(policy: DataFrame) -> Column:
 
     A policy is a table of settings; one of more than ``MOST_POLICY_ROWS`` rows fails the job.
     """
-    cases = policy.groupBy("gb").agg(F.sort_array(F.collect_list(F.struct(*GRADE_COLUMNS))).alias("grades"))
+    grade = F.struct(*GRADE_COLUMNS, F.col("std_amt").cast("double").alias("near"))
+    cases = policy.groupBy("gb").agg(F.sort_array(F.collect_list(grade)).alias("grades"))
     size = F.sum(F.size("grades"))
     whole = F.collect_list(F.struct("gb", "grades"))
     refusal = F.raise_error(F.format_string(f"a policy has at most {MOST_POLICY_ROWS} rows, not %d", size))
@@ -49,13 +42,19 @@ def grade_label(his: DataFrame, policy: DataFrame) -> DataFrame:
     customer, as ``customer_period_summary`` leaves them, are not shuffled.
     """
 
+    def met(grade: Column) -> Column:
+        # Floats that differ decide as the decimals would; only equal ones need those.
+        amount = F.when(F.col("_near") > grade["near"], True).when(F.col("_near") < grade["near"], False)
+        return (F.col("cnt_order") >= grade["std_ord"]) & amount.otherwise(F.col("sum_amt") >= grade["std_amt"])
+
     def best(case: Column) -> Column:
-        met = F.filter(case["grades"], lambda g: (F.col("cnt_order") >= g["std_ord"]) & (F.col("sum_amt") >= g["std_amt"]))
-        return F.struct(case["gb"].alias("gb"), F.get(met, F.lit(0)).alias("best"))
+        return F.struct(case["gb"].alias("gb"), F.get(F.filter(case["grades"], met), F.lit(0)).alias("best"))
 
-    ruled = his.withColumn("_policy", _thresholds(policy))
-    matches = ruled.select(*his.columns, F.explode(F.transform("_policy", best)).alias("_case")).where(F.col("_case.best").isNotNull())
-    matches = matches.select(*his.columns, "_case.gb", "_case.best.*")
+    ruled = his.select("*", F.col("sum_amt").cast("double").alias("_near"), _thresholds(policy).alias("_policy"))
+    found = ruled.select(*his.columns, F.explode(F.transform("_policy", best)).alias("_case"))
+    matches = found.where(F.col("_case.best").isNotNull()).select(
+        *his.columns, "_case.gb", *(f"_case.best.{c}" for c in GRADE_COLUMNS)
+    )
     first = Window.partitionBy("customer_id", "std_ym", "gb").orderBy("grd_cd", F.desc("cnt_order"), F.desc("sum_amt"))
     return matches.withColumn("rn", F.row_number().over(first)).where(F.col("rn") == 1)
 
@@ -127,52 +126,48 @@ def target_headcount(base: DataFrame, share: float) -> DataFrame:
     )
 
 
-def _cells_in_band(
-    rows: DataFrame,
-    part: Sequence[str],
-    levels: Sequence[dict[str, str]],
-    before_part: Column,
-    before: str,
-    lo: int,
-    hi: int,
-) -> DataFrame:
-    """Cells of ``rows`` that overlap the open rank interval, with their rows ``_n`` and the rank before them."""
-    keys = [*part, *(name for level in levels for name in level)]
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    placed = cell_offsets(counts, part, levels, ["_n"]).withColumn(before, before_part + F.col("_n_before"))
-    return placed.where((F.col(before) + 1 < hi) & (F.col(before) + F.col("_n") > lo)).select(*keys, before, "_n")
-
-
 def _band(labels: DataFrame, lo: int, hi: int, gb: str) -> DataFrame:
     """The rows of ``rank_band``, unsorted.
 
-    A month is not sorted as a whole. Counts per cell of the ordering tell which cells reach into the band, and
-    only their rows go on: first cells of grade, orders and step of the amount, then of the amount itself and the
-    upper and middle bits of the customer id. What is ranked at last are the rows of one amount whose ids differ in
-    their last ``ID_BITS`` bits only, whatever the ids and the ties.
+    A month is neither sorted nor shuffled as a whole. Customers are counted by the digits of their place, coarse to fine:
+    grade, orders and step of the amount; the amount and the upper bits of the customer id; its middle bits.
+    Running sums per digit tell the first and last leaf of each month that reach into the band. These bounds, one entry a
+    month, are one value, so the labels are filtered where they are made. What is ranked at last are the
+    rows of the band and of two leaves, in which ids differ in their last ``ID_BITS`` bits only, whatever the ties.
     """
     number = F.col("customer_id").cast("long")
     nobody = F.lit(1 << (64 - 2 * ID_BITS)).cast("long")  # after every customer
-    rows = (
-        with_steps(labels.where(F.col("gb") == gb), "sum_amt", AMOUNT_STEP, BELOW_ALL)
-        .withColumn("_grade", F.coalesce(F.col("grd_cd").cast("long"), F.lit(ABOVE_ALL)))
-        .withColumn("_orders", F.coalesce(F.col("cnt_order").cast("long"), F.lit(BELOW_ALL)))
-        .withColumn("_high", F.coalesce(F.shiftright(number, 2 * ID_BITS), nobody))
-        .withColumn("_mid", F.coalesce(F.shiftright(number, ID_BITS).bitwiseAND(F.lit((1 << ID_BITS) - 1)), F.lit(0).cast("long")))
+    amount = F.col("sum_amt")
+    step = F.coalesce(F.floor(amount.cast("double") / F.lit(float(AMOUNT_STEP))), F.lit(BELOW_ALL).cast("long"))
+    # Descending numbers are negated; two structs give the same order as their fields one by one.
+    coarse = F.struct(
+        F.coalesce(F.col("grd_cd").cast("long"), F.lit(ABOVE_ALL)).alias("grade"),
+        (-F.coalesce(F.col("cnt_order").cast("long"), F.lit(BELOW_ALL))).alias("orders"),
+        (-step).alias("step"),
+    )
+    fine = F.struct(
+        F.coalesce(-amount, F.lit(0).cast(labels.schema["sum_amt"].dataType)).alias("amount"),
+        F.coalesce(F.shiftright(number, 2 * ID_BITS), nobody).alias("high"),
+    )
+    mid = F.coalesce(F.shiftright(number, ID_BITS).bitwiseAND(F.lit((1 << ID_BITS) - 1)), F.lit(0).cast("long"))
+    rows = labels.where(F.col("gb") == gb).select("*", coarse.alias("_coarse"), fine.alias("_fine"), mid.alias("_mid"))
+    digits = ["_coarse", "_fine", "_mid"]
+    leaves = rows.groupBy("std_ym", *digits).agg(F.count(F.lit(1)).alias("_n"))
+    placed = cell_offsets(leaves, ["std_ym"], [{d: "asc"} for d in digits], ["_n"])
+    in_band = placed.where((F.col("_n_before") + 1 < hi) & (F.col("_n_before") + F.col("_n") > lo))
+    leaf = F.struct(*digits)
+    months = in_band.groupBy("std_ym").agg(
+        F.min(leaf).alias("first"), F.max(leaf).alias("last"), F.min("_n_before").alias("before")
+    )
+    bounds = F.map_from_entries(F.collect_list(F.struct("std_ym", F.struct("first", "last", "before"))))
+    bounded = rows.select("*", months.agg(bounds).scalar().alias("_months"))
+    near = bounded.select(*rows.columns, F.try_element_at("_months", F.col("std_ym")).alias("_month")).where(
+        leaf.between(F.col("_month.first"), F.col("_month.last"))
     )
-    coarse = ["std_ym", "_grade", "_orders", STEP]
-    levels = [{"_grade": "asc", "_orders": "desc", STEP: "desc"}]
-    cells = _cells_in_band(rows, ["std_ym"], levels, F.lit(0), "_before", lo, hi)
-    near = hot_join(rows, cells, coarse, "_n", ["customer_id"]).drop("_n")
-    cell = [*coarse, "_before"]
-    fine = [POINT, "_high", "_mid"]
-    levels = [{POINT: "desc"}, {"_high": "asc"}, {"_mid": "asc"}]
-    cells = _cells_in_band(near, cell, levels, F.col("_before"), "_start", lo, hi).drop("_n")
-    nearest = near.join(cells, [*cell, *fine])
-    in_cell = Window.partitionBy(*cell, *fine).orderBy(F.col("customer_id").asc_nulls_last())
-    rank = (F.col("_start") + F.row_number().over(in_cell)).cast("int")
+    in_month = Window.partitionBy("std_ym").orderBy(*digits, F.col("customer_id").asc_nulls_last())
+    rank = (F.col("_month.before") + F.row_number().over(in_month)).cast("int")
     # Replaces the ``rn`` of the labels, which is 1 throughout.
-    ranked = nearest.withColumn("rn", rank).where((F.col("rn") > lo) & (F.col("rn") < hi))
+    ranked = near.withColumn("rn", rank).where((F.col("rn") > lo) & (F.col("rn") < hi))
     return ranked.select(*labels.columns, *(["rn"] if "rn" not in labels.columns else []))
 
 

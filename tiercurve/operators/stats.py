@@ -59,7 +59,7 @@ def box_stats(
     # their values are read again.
     split = (F.col("_low") < F.col("_from")) & (F.col("_high") >= F.col("_from")) | (F.col("_low") <= F.col("_to")) & (F.col("_high") > F.col("_to"))
     steps = fenced.select(KEY, F.col(STEP).alias("_at"), F.col(COUNT).alias("_all"), "n", *QUARTILES, "_low", "_high", "_from", "_to", split.alias("_split"))
-    again = points.where(F.col(COUNT) > 0).select(F.col(KEY).alias("_of"), STEP, F.col(POINT).cast("double").alias("_x"), COUNT)
+    again = points.where(F.col(COUNT) > 0).select(F.col(KEY).alias("_of"), STEP, F.col(POINT).alias("_x"), COUNT)
     cells = steps.join(again, (F.col(KEY) == F.col("_of")) & (F.col("_at") == F.col(STEP)) & F.col("_split"), "left")
     low, high = F.coalesce("_x", "_low"), F.coalesce("_x", "_high")
     kept = inside(low, high)

@@ -292,7 +292,7 @@ FROM orders""",
             o_totalprice="DECIMAL(18,2)", o_orderdate="DATE",
         ),
         "lineitem_violations": _violations(
-            "lineitem", l_orderkey="BIGINT", l_quantity="TINYINT", l_extendedprice="DECIMAL(6,2)"
+            "lineitem", l_orderkey="BIGINT", l_quantity="TINYINT", l_extendedprice="DECIMAL(7,2)"
         ),
         "load_table": "SELECT * FROM nation",
     }

@@ -32,12 +32,17 @@ def _lifetime(spark, sf_dir):
     return orders.customer_lifetime(transactions(spark, sf_dir))
 
 
-def _labels(spark, sf_dir):
-    return grades.grade_label(customer_grd_his(spark, sf_dir), grade_policy(spark))
+def _labels(spark, sf_dir, *cases):
+    return grades.grade_label(customer_grd_his(spark, sf_dir), grade_policy(spark, *cases))
+
+
+def _ranked(spark, sf_dir):
+    """Labels of the case that customers are ranked and counted in."""
+    return _labels(spark, sf_dir, "case1")
 
 
 def _base(spark, sf_dir):
-    return grades.graded_base(_labels(spark, sf_dir))
+    return grades.graded_base(_ranked(spark, sf_dir))
 
 
 def _whatif(spark, sf_dir) -> WhatIf:
@@ -74,7 +79,7 @@ def vip_share_average(spark, sf_dir):
 
 
 def rank_band_stats(spark, sf_dir, lo, hi):
-    band = grades.rank_band_stats(_labels(spark, sf_dir), lo, hi)
+    band = grades.rank_band_stats(_ranked(spark, sf_dir), lo, hi)
     return _rounded(band, 6, "avg_cnt_ord", "avg_sum_amt", "med_sum_amt")
 
 
@@ -112,8 +117,8 @@ def queries() -> dict[str, Query]:
         "vip_share_average": vip_share_average,
         "target_headcount": lambda s, d: target_headcount(s, d, 0.01),
         "target_headcount_gold": lambda s, d: target_headcount(s, d, 0.2).select("avg"),
-        "rank_band": lambda s, d: grades.rank_band(_labels(s, d), 21, 25, newest_first=True),
-        "rank_band_gold": lambda s, d: grades.rank_band(_labels(s, d), 450, 490),
+        "rank_band": lambda s, d: grades.rank_band(_ranked(s, d), 21, 25, newest_first=True),
+        "rank_band_gold": lambda s, d: grades.rank_band(_ranked(s, d), 450, 490),
         "rank_band_stats": lambda s, d: rank_band_stats(s, d, 21, 25),
         "rank_band_stats_gold": lambda s, d: rank_band_stats(s, d, 460, 490),
         "pareto_curve": lambda s, d: pareto.pareto_curve(transactions(s, d)),
@@ -124,7 +129,7 @@ def queries() -> dict[str, Query]:
         "grade_policy_whatif_percent": lambda s, d: _whatif(s, d).mix_percent,
         "grade_policy_whatif_vip": lambda s, d: _whatif(s, d).vip_share,
         "grade_policy_whatif_average": lambda s, d: _rounded(_whatif(s, d).vip_average, 9, "avg_prop"),
-        "rank_band_wide": lambda s, d: grades.rank_band(_labels(s, d), 100, 700),
+        "rank_band_wide": lambda s, d: grades.rank_band(_ranked(s, d), 100, 700),
         "rank_band_stats_wide": lambda s, d: rank_band_stats(s, d, 100, 700),
         "load_orders": lambda s, d: load_table(s, "orders", ParquetSource(d)),
         "order_violations": lambda s, d: violations(ParquetSource(d).read(s, "orders"), ORDERS),

@@ -51,12 +51,12 @@ ORDERS = T.StructType(
     ]
 )
 
-#: Lines of cheap goods: what costs 10,000 or more does not fit.
+#: Lines of goods below 100,000 a line: what costs more does not fit.
 LINES = T.StructType(
     [
         T.StructField("l_orderkey", T.LongType(), nullable=False),
         T.StructField("l_quantity", T.ByteType(), nullable=False),
-        T.StructField("l_extendedprice", T.DecimalType(6, 2), nullable=False),
+        T.StructField("l_extendedprice", T.DecimalType(7, 2), nullable=False),
     ]
 )
 
