@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from base64 import b32encode
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNull, Not, StringStartsWith
@@ -155,6 +157,23 @@ def test_unwanted_payloads_are_not_decoded(foreign, tests, decoded):
         assert (found, reader.decoded) == (decoded, count)
 
 
+def test_packed_payloads_are_passed_over(spark, tmp_path):
+    noise = np.random.default_rng(0).integers(97, 123, 3_000_000).astype(np.uint8).tobytes().decode()
+    pages = spark.createDataFrame([(1, "u", noise), (2, "u", "small")], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "a"))
+    file = next((tmp_path / "a").glob("*.warc.gz"))
+    with gzip.open(file) as plain:  # any gzip reader can read it
+        assert plain.read().count(b"WARC/1.1\r\n") == 2
+    raw = io.BufferedReader(io.FileIO(file), 1 << 16)
+    sizes = []
+    for member in warc._members(raw, None):
+        assert member.readline() == b"WARC/1.1\r\n"
+        sizes.append(member.raw.left)
+    assert max(sizes) > 1_500_000  # not read, let alone unpacked
+    got = {r.record_id: len(r.payload) for r in warc.read(spark, str(tmp_path / "a")).collect()}
+    assert got == {"urn:page:1": 3_000_000, "urn:page:2": 5}
+
+
 def test_broken_archives_are_refused(tmp_path):
     (tmp_path / "bad.warc").write_bytes(b"no record\r\n")
     reader = warc.WarcReader(str(tmp_path / "bad.warc"), warc.SCHEMA, 1 << 20)

@@ -5,8 +5,9 @@
 * *Reading.* The driver plans partitions of about ``split_bytes``: files are cut where the writer noted the begin of a record,
   small pieces share a partition. A file from elsewhere (``.warc``, ``.warc.gz``) is one piece. A record's headers are
   parsed first; predicates on columns made from headers are pushed down and decided on them, and if they fail, or no column of the
-  schema needs the payload, it is passed over without being decoded. Select columns by the schema: ``read`` takes their names.
-* *Writing.* Tasks write files of at most about ``file_bytes`` under names of their own. The job's commit writes a manifest of
+  schema needs the payload, it is passed over without being decoded: in plain files by the record's length, in packed ones by
+  the length in the member's ``sl`` field, where there is one. Select columns by the schema: ``read`` takes their names.
+* *Writing.* Tasks write files of at most about ``file_bytes`` under names of their own, each record a gzip member. The job's commit writes a manifest of
   the files of the tasks that succeeded; a reader of a folder with manifests reads nothing else, so that files of failed
   or repeated attempts do no harm. Plain paths and ``file:`` are opened directly, others through ``pyarrow.fs``.
 
@@ -26,7 +27,9 @@ import codecs
 import gzip
 import io
 import json
+import struct
 import uuid
+import zlib
 from base64 import b32encode
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -73,6 +76,8 @@ SCHEMA = SCHEMA.add("payload_length", T.LongType()).add("payload", T.BinaryType(
 _ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.BinaryType(): pa.binary()}
 SPLIT_BYTES, FILE_BYTES = 32 << 20, 1 << 30
 HOT, CHUNK = 1000, 4096
+_MAGIC = b"\x1f\x8b"
+_SKIP = struct.Struct("<4sIHH2sHII")  # a gzip header with the field "sl": packed and plain length of the member
 _BATCH_BYTES, _BATCH_ROWS = 8 << 20, 4096
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URL_SAFE = "%/:=&?~#+!$,;'@()*[]"
@@ -186,13 +191,13 @@ class WarcReader(DataSourceReader):
             room -= size
         return planned or [Pieces([])]
 
-    def _rows(self, file: io.BufferedIOBase, end: int | None, raw: io.BufferedIOBase) -> Iterator[dict]:
-        """The wanted records of a file from where it stands to ``end``."""
+    def _rows(self, file: io.BufferedIOBase, end: int | None) -> Iterator[dict]:
+        """The wanted records of a file from where it stands to ``end``, or the one of a member."""
         early = [t for t in self.tests if not self._of_length(t)]
         late = [t for t in self.tests if self._of_length(t)]
         wants_body = bool({"payload", "text"} & set(self.names))
         wants_length = wants_body or late or "payload_length" in self.names
-        while end is None or raw.tell() < end:
+        while end is None or file.tell() < end:
             line = file.readline()
             if not line:
                 break
@@ -221,6 +226,8 @@ class WarcReader(DataSourceReader):
                         if "text" in self.names:
                             row["text"] = row["payload"].decode(_charset(http), "replace")
                     yield row
+            if isinstance(file, _Member):
+                return
             file.seek(left, io.SEEK_CUR)
 
     @staticmethod
@@ -237,11 +244,9 @@ class WarcReader(DataSourceReader):
             with system.open_input_file(path) as source:
                 raw = io.BufferedReader(source, 1 << 16)
                 raw.seek(first)
-                packed = raw.peek(2)[:2] == b"\x1f\x8b"
-                # Members of a packed file are read one record each, so that the end of a piece can be told.
-                files = _members(raw, end) if packed else [raw]
-                for file in files:
-                    for row in self._rows(file, None if packed else end, file):
+                packed = raw.peek(2)[:2] == _MAGIC
+                for file in _members(raw, end) if packed else [raw]:
+                    for row in self._rows(file, None if packed else end):
                         rows.append(row)
                         size += len(row["payload"] or b"")
                         if len(rows) >= _BATCH_ROWS or size >= _BATCH_BYTES:
@@ -251,30 +256,60 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in self.names} for r in rows], shape)
 
 
-def _members(raw: io.BufferedReader, end: int | None) -> Iterator[io.BufferedIOBase]:
-    """The packed records from where ``raw`` stands; all of the file in one go if it has no end in it."""
-    if end is None:
-        yield gzip.GzipFile(fileobj=raw)
-        return
-    yield gzip.GzipFile(fileobj=io.BufferedReader(_Part(raw, end - raw.tell())))
-
-
-class _Part(io.RawIOBase):
-    """The next ``left`` bytes of a file."""
+class _Inflated(io.RawIOBase):
+    """What the next ``left`` packed bytes of a file hold, unpacked as far as it is read."""
 
     def __init__(self, raw: io.BufferedReader, left: int):
-        self.raw, self.left = raw, left
+        self.raw, self.left, self.unpack = raw, left, zlib.decompressobj(-zlib.MAX_WBITS)
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, buffer) -> int:
-        data = self.raw.read(min(len(buffer), self.left))
+        data = b""
+        while not data and not self.unpack.eof:
+            packed = self.unpack.unconsumed_tail
+            if not packed:
+                packed = self.raw.read(min(2048, self.left))
+                self.left -= len(packed)
+                if not packed:
+                    raise EOFError("a packed record ends too early")
+            data = self.unpack.decompress(packed, len(buffer))
         buffer[: len(data)] = data
-        self.left -= len(data)
         return len(data)
 
 
+class _Member(io.BufferedReader):
+    """One packed record of known length."""
+
+
+def _members(raw: io.BufferedReader, end: int | None) -> Iterator[io.BufferedIOBase]:
+    """The packed records from where ``raw`` stands; from a member without a known length on, all in one."""
+    while end is None or raw.tell() < end:
+        start = raw.tell()
+        head = raw.read(_SKIP.size)
+        if not head:
+            return
+        known = len(head) == _SKIP.size and head[:4] == _MAGIC + b"\x08\x04"
+        _, _, _, extra, field, size, packed, _ = _SKIP.unpack(head) if known else (None,) * 8
+        if known and (extra, field, size) == (12, b"sl", 8):
+            yield _Member(_Inflated(raw, packed - len(head) - 8), 2048)
+            raw.seek(start + packed)
+        else:
+            raw.seek(start)
+            yield gzip.GzipFile(fileobj=raw)
+            return
+
+
+def _packed(data: bytes) -> bytes:
+    """A gzip member that tells its own packed and plain length, so that a reader can pass over it."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = deflate.compress(data) + deflate.flush()
+    size = _SKIP.size + len(body) + 8
+    head = _SKIP.pack(_MAGIC + b"\x08\x04", 0, 0xFF00, 12, b"sl", 8, size, len(data))
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
 def _charset(http: dict[bytes, bytes]) -> str:
     name = http.get(b"content-type", b"").lower().partition(b"charset=")[2].split(b";")[0].strip(b" \"'").decode("ascii", "replace")
     try:
@@ -317,7 +352,7 @@ def _urn(page_id: str | None) -> str:
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, options: dict[str, str]):
         self.path = path
-        self.packed = options.get("compression", "none") == "gzip"
+        self.packed = options.get("compression", "gzip") == "gzip"
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         self.file_bytes = int(options.get("file_bytes", FILE_BYTES))
         self.date = options.get("date") or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -336,7 +371,7 @@ class WarcWriter(DataSourceArrowWriter):
                     splits.append(at)
                 head, block = _record(row, self.date)
                 data = head + block + b"\r\n\r\n"
-                data = gzip.compress(data, 6, mtime=0) if self.packed else data
+                data = _packed(data) if self.packed else data
                 stream.write(data)
                 at += len(data)
                 if at >= self.file_bytes:
@@ -361,7 +396,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Format ``warc``. Options of both ways: ``split_bytes``; of writing: ``file_bytes``, ``compression`` (none, gzip), ``date``."""
+    """Format ``warc``. Options of both ways: ``split_bytes``; of writing: ``file_bytes``, ``compression`` (gzip, none), ``date``."""
 
     @classmethod
     def name(cls) -> str:
