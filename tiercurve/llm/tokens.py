@@ -2,9 +2,10 @@
 
 The vocabularies used here end a token at white space, so that a text's ids are the ids of its parts
 between spaces and line ends, in order; and letters and signs never share a token, so that a part such as
-``word,`` is ``word`` and ``,``. Each part is encoded once in a Python worker and remembered (up to
-``REMEMBERED`` of them), which spares the library most of the work on ordinary text. ``encoder`` asks the
-tokenizer file whether this holds and otherwise encodes whole texts.
+``word,`` is ``word`` and ``,``. A part of at most ``SHORT`` characters is encoded once in a Python worker and remembered
+(at most ``REMEMBERED`` of them, about 200 bytes each), which spares the library most of the work on ordinary text; longer
+parts, such as texts without spaces, are encoded and forgotten. ``encoder`` asks the tokenizer file whether this
+holds and otherwise encodes whole texts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-REMEMBERED = 400_000
+REMEMBERED, SHORT = 200_000, 32
 SIGNS = ",.;:!?|*%&$#"
 _encoders: dict[str, Encoder] = {}
 
@@ -45,7 +46,8 @@ def _by_parts(spec: dict) -> bool:
 def _core(part: str) -> str:
     """``part`` without the signs after a last ASCII letter, in lower case if it is ASCII and no special token."""
     core = part.rstrip(SIGNS)
-    if len(core) == len(part) or not ("a" <= core[-1:].lower() <= "z"):
+    last = core[-1:]  # ASCII, since some other letters become several in lower case, the last of them no letter
+    if len(core) == len(part) or not (last.isascii() and last.isalpha()):
         core = part
     return core.lower() if core.isascii() and "<" not in core else core
 
@@ -109,10 +111,15 @@ class Encoder:
         if missing:
             cores = {k: _core(parts[k]) for k in missing}
             wanted = {*cores.values(), *(parts[k][len(c) :] for k, c in cores.items())}
-            self.young.update(self._several([p for p in wanted if p not in self.young and self._look(p) is None]))
+            fresh: dict[str, bytes] = {}
+            known = {p: ids for p in wanted if (ids := self.young.get(p) or self._look(p)) is not None}
+            for p, ids in self._several([p for p in wanted if p not in known]):
+                known[p] = ids
+                fresh[p] = ids
             for k, core in cores.items():
-                found[k] = self.young[core] + self.young[parts[k][len(core) :]]
-                self.young[parts[k]] = found[k]
+                found[k] = known[core] + known[parts[k][len(core) :]]
+                fresh[parts[k]] = found[k]
+            self.young.update((p, ids) for p, ids in fresh.items() if len(p) <= SHORT)
         return found
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
