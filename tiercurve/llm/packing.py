@@ -5,13 +5,15 @@ counts by length (at most ``size`` numbers) go to the driver, which plans there:
 the longest, sequences with the least sufficient room are filled first, whole ranges of alike sequences at once.
 The plan lists, for each length, ranges of ranks and the sequences and places they take. Each piece then
 takes its slot by its rank within its length. The rank is its place among the pieces of its length in
-its task, plus the sum over the tasks before; no task ranks all pieces of one length.
+its task, plus the sum over the tasks before; no task ranks all pieces of one length. Where only digests of the ids
+are wanted, as in ``query``, they are made where the ids are, and the ids themselves are neither kept nor shuffled.
 
 Null and empty texts are the end id alone. Repeated rows are packed each. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiercurve.llm.common import fields, written
-from tiercurve.llm.token_output import id_sums
 from tiercurve.llm.tokens import default_path, encoder, groups, with_end
 
 SIZE = 2048
@@ -72,8 +73,11 @@ def plan(histogram: dict[int, int], size: int) -> dict[int, list[tuple[int, int,
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame:
-    """``(doc_id, piece, start, length, ids, task, place)``; ``place`` counts the pieces of its length in its task."""
+def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, digests: bool = False) -> DataFrame:
+    """``(doc_id, piece, start, length, ids, task, place)``; ``place`` counts the pieces of its length in its task.
+
+    With ``digests`` there is ``ids_crc32`` instead of ``ids``: of the ids as little-endian unsigned 32-bit integers.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, encode = TaskContext.get().partitionId(), encoder(tokenizer)
@@ -91,21 +95,27 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
                 kinds, first, counts = np.unique(length[order], return_index=True, return_counts=True)
                 places[order] = np.arange(len(owner)) - np.repeat(first - np.array([seen[k] for k in kinds.tolist()]), counts)
                 seen.update(dict(zip(kinds.tolist(), counts.tolist(), strict=True)))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                ends = np.append(0, np.cumsum(length))
+                if digests:
+                    raw = memoryview(ids.astype("<u4")).cast("B")
+                    content = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+                else:
+                    content = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 columns = [
                     batch.column("doc_id").slice(row, len(texts)).take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(start),
-                    pa.array(length), lists, pa.array(np.full(len(owner), task, np.int32)), pa.array(places),
+                    pa.array(length), content, pa.array(np.full(len(owner), task, np.int32)), pa.array(places),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    ddl = "piece int, start long, length long, ids array<int>, task int, place long"
-    schema = fields([docs.schema["doc_id"]], ddl)
+    ddl = "ids_crc32 long" if digests else "ids array<int>"
+    schema = fields([docs.schema["doc_id"]], f"piece int, start long, length long, {ddl}, task int, place long")
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = 0) -> DataFrame:
-    """``(doc_id, piece, start, length, sequence_id, offset, ids)``, a row for each piece."""
-    cut = written(pieces(docs, tokenizer or default_path(), size, end_id))
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = 0, digests: bool = False) -> DataFrame:
+    """``(doc_id, piece, start, length, sequence_id, offset, ids)``, a row for each piece; ``ids_crc32`` for ``ids`` if ``digests``."""
+    cut = written(pieces(docs, tokenizer or default_path(), size, end_id, digests))
+    content = cut.schema[4]
     counts = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``size`` rows
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
     planned = docs.sparkSession.sparkContext.broadcast(
         {length: [np.array(x, np.int64) for x in zip(*slots, strict=True)] for length, slots in plan(histogram, size).items()}
     )
-    schema = fields([docs.schema["doc_id"]], "piece int, start long, length long, sequence_id long, offset long, ids array<int>")
+    schema = fields([docs.schema["doc_id"]], "piece int, start long, length long, sequence_id long, offset long").add(content)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = planned.value
@@ -128,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
                 within = ranks[own] - first[at]
                 sequences[own] = sequence[at] + within // each[at]
                 offsets[own] = offset[at] + length * (within % each[at])
-            rest = {n: batch.column(n) for n in ("doc_id", "piece", "start", "length", "ids")}
+            rest = {n: batch.column(n) for n in ("doc_id", "piece", "start", "length", content.name)}
             rest |= {"sequence_id": pa.array(sequences), "offset": pa.array(offsets)}
             yield pa.RecordBatch.from_arrays([rest[n] for n in schema.names], schema.names)
 
@@ -136,4 +146,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return id_sums(pack(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(docs, digests=True).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
