@@ -4,19 +4,19 @@ Words are parted by ASCII white space, otherwise unchanged; a shorter text with
 are linked if the sum of the lesser counts of their shingles is at least 0.8 of the sum of the greater; a class is
 what links connect. Texts without words are linked to nothing.
 
-* *Signatures.* The weight axis (counts) is halved again and again from the whole block [2^j, 2^(j+1)) down to
-  single units. Each shingle and block has a Poisson process whose rate is the block's width; every point has a time,
-  a slot of the signature and a weight drawn within the block, and counts if the weight is below the shingle's.
-  A slot keeps the earliest point. So two texts agree in a slot with probability equal to their weighted Jaccard
+* *Signatures.* The weight axis (counts) is cut into the blocks [0, 1), [1, 2), [2, 4), [4, 8), ... Each shingle and block
+  has a Poisson process whose rate is the block's width; every point has a time, a slot of the signature and a weight
+  drawn within the block, and counts if the weight is below the shingle's. A slot keeps the earliest point. So two texts agree in a slot with probability equal to their weighted Jaccard
   similarity, and after the first points only processes that may still beat a slot's time go on.
 * *Bands.* Texts that agree in all ``ROWS`` slots of one of ``BANDS`` bands are candidates: at similarity 0.8, all but
   7 pairs in a million.
 * *Verification.* Candidates are verified on the multisets themselves. Equal multisets are one text first. Then every
   text is compared with the least text of its bucket, so a large group of copies costs one comparison for each and
   no pairs. In ``ROUNDS`` more rounds, texts apart from the largest class in their bucket are compared with ``LEADERS`` texts
-  of it, others each time. Last, what is still apart is compared with all of its bucket that it is not
-  connected with: so no candidate link between different classes is left unseen. A pair whose one-byte slots agree
-  in fewer than ``SKETCH`` of all is passed over (at 0.8, five pairs in a billion).
+  of it, others each time. Last, what is still apart meets all of its bucket: sketches and multisets go there, once for
+  each text, and are compared in the task, so no candidate link between different classes is left unseen, but no pair
+  leaves unless it is a link that connects what the task has not connected: fewer links than texts. A pair whose one-byte slots
+  agree in fewer than ``SKETCH`` of all is passed over (at 0.8, five pairs in a billion).
 
 Repeated rows and equal texts are in one class. The class is named by the least ``doc_id`` in it; a null ``doc_id``
 comes last and names a class only if all its ids are null, in which case the class is null.
@@ -38,7 +38,7 @@ BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
 SKETCH = 0.6
 ROUNDS, LEADERS = 2, 4
-BLOCK, TASK_ROWS = 2048, 20_000
+BLOCK_BYTES, TASK_BYTES = 4 << 20, 24 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,48 +180,87 @@ def _listed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_alike, "a long, b long")
 
 
-def _within(placed: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The likely pairs of a text apart from its bucket's largest class and any text of the bucket not connected with it.
-
-    Sketches go to the bucket, once for each text, and are compared there; only likely pairs leave it. Large buckets are cut
-    into blocks of about ``BLOCK`` texts, and each block meets each; small ones share a task.
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Multisets as sorted sets of 64-bit numbers: a shingle's k-th occurrence is an element of its own."""
+    for batch in batches:
+        for first, end, data, offsets in text_chunks(batch):
+            documents, found, counts = shingles(Words(data, offsets, SPACED))
+            owner = np.repeat(np.arange(len(found)), counts)
+            again = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            elements = found[owner] ^ mix(again.astype(np.uint64) * _GOLDEN)
+            of = documents[owner]
+            order = np.lexsort((elements, of))
+            raw, cuts = elements[order].astype("<u8").tobytes(), np.searchsorted(of, np.arange(end - first + 1)) * 8
+            bags = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, end - first), pa.array(bags, pa.binary())], ["id", "bag"])
+
+
+class _Cell:
+    """The texts of one bucket, or of two blocks of it, and which of them are connected as far as is known."""
+
+    def __init__(self, ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, bags: list[np.ndarray]):
+        self.ids, self.sizes, self.sketches, self.bags = ids, sizes, sketches, bags
+        self.part = np.unique(roots, return_inverse=True)[1]
+
+    def links(self, i: int, allowed: np.ndarray) -> list[tuple[int, int]]:
+        """Links of text ``i`` with texts it is not yet connected with, one for each part they are in."""
+        some = np.flatnonzero(allowed & (self.part != self.part[i]))
+        some = some[_likely(self.sketches[i], self.sketches[some], self.sizes[i], self.sizes[some])]
+        if not len(some):
+            return []
+        own, others = self.bags[i], [self.bags[j] for j in some.tolist()]
+        lengths = np.array([len(x) for x in others])
+        every = np.concatenate(others)
+        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        common = np.add.reduceat(own[place] == every, np.cumsum(lengths) - lengths)
+        out = []
+        for j in some[common >= SIMILARITY * (len(own) + lengths - common) - 1e-9].tolist():
+            if self.part[j] != self.part[i]:
+                out.append((int(self.ids[i]), int(self.ids[j])))
+                self.part[self.part == self.part[j]] = self.part[i]
+        return out
+
+
+def _connected(table: pa.Table) -> pa.Table:
+    """Links that connect the texts of a task's cells, fewer than texts."""
+    numbers = {n: table[n].to_numpy() for n in ("bucket", "low", "high", "own", "id", "root", "size")}
+    apart = table["apart"].to_numpy(zero_copy_only=False).astype(bool)
+    sketches = _sketches(table["sketch"])
+    bags = [np.frombuffer(b.as_buffer(), "<u8") for chunk in table["bag"].chunks for b in chunk]
+    cells = np.stack([numbers[n].astype(np.int64) for n in ("bucket", "low", "high")])
+    order = np.lexsort((numbers["id"], *cells))
+    new = np.flatnonzero(np.append(True, (np.diff(cells[:, order], axis=1) != 0).any(0))[: len(order)])
+    found: list[tuple[int, int]] = []
+    for first, end in zip(new, np.append(new[1:], len(order)), strict=True):
+        at = order[first:end]
+        cell = _Cell(numbers["id"][at], numbers["root"][at], numbers["size"][at], sketches[at], [bags[k] for k in at.tolist()])
+        own, alone = numbers["own"][at], apart[at]
+        within = numbers["low"][at[0]] == numbers["high"][at[0]]
+        later = np.ones(len(at), bool)
+        for i in np.flatnonzero(alone).tolist():
+            later[i] = False  # met by all others that are apart from now on
+            found += cell.links(i, later | ~alone if within else (own != own[i]) & (later | ~alone))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs.max(1), "b": pairs.min(1)})
+
+
+def _within(placed: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that connect each text apart from its bucket's largest class with all of the bucket it has a link to.
+
+    Large buckets are cut into blocks of about ``BLOCK_BYTES``, and each block meets each; small ones share a task.
     """
-    rows = placed.count()
-    if not rows:
-        return placed.sparkSession.createDataFrame([], "a long, b long")
-    counts = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    full = placed.join(sketches, "id").join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    bags = texts.join(placed.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_bagged, "id long, bag binary")
+    weighed = placed.join(sketches, "id").withColumn("bytes", 8 * F.col("size") + 256)
+    total = weighed.agg(F.sum("bytes")).first()[0] or 0
+    counts = weighed.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    full = weighed.join(counts, "bucket").join(bags, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    names = ["bucket", "id", "root", "size", "sketch"]
-    left = full.where("root != head").select(*names, F.col("own").alias("block_a"), other).withColumnRenamed("other", "block_b")
-    right = full.select(*names, F.col("own").alias("block_b"), other).withColumnRenamed("other", "block_a")
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, both sides being one table
-    task = F.pmod(F.xxhash64("bucket", "block_a", "block_b"), F.lit(-(-rows // TASK_ROWS))).alias("task")
-
-    def compare(apart: pa.Table, every: pa.Table) -> pa.Table:
-        sides = []
-        for side in (apart, every):
-            cells = np.stack([side[n].to_numpy().astype(np.int64) for n in ("bucket", "block_a", "block_b")])
-            order = np.lexsort(cells)
-            own = [side[n].to_numpy()[order] for n in ("id", "root", "size")]
-            sides.append((cells[:, order], *own, _sketches(side["sketch"])[order]))
-        (cell_a, id_a, root_a, size_a, sketch_a), (cell_b, id_b, root_b, size_b, sketch_b) = sides
-        new = np.flatnonzero(np.append(True, (np.diff(cell_a, axis=1) != 0).any(0))[: cell_a.shape[1]])
-        starts_b = {tuple(c): k for k, c in reversed(list(enumerate(cell_b.T.tolist())))}
-        ends_b = {tuple(c): k + 1 for k, c in enumerate(cell_b.T.tolist())}
-        out = [np.zeros((2, 0), np.int64)]
-        for first, end in zip(new, np.append(new[1:], cell_a.shape[1]), strict=True):
-            at = tuple(cell_a[:, first].tolist())
-            b = slice(starts_b.get(at, 0), ends_b.get(at, 0))
-            for i in range(first, end):
-                some = np.flatnonzero((root_b[b] != root_a[i]) & _likely(sketch_a[i], sketch_b[b], size_a[i], size_b[b]))
-                if len(some):
-                    out.append(np.stack([np.full(len(some), id_a[i]), id_b[b][some]]))
-        pairs = np.concatenate(out, axis=1)
-        return pa.table({"a": pairs.max(0), "b": pairs.min(0)})
-
-    by_task = [df.select("*", task).groupBy("task") for df in (left, right)]
-    return by_task[0].cogroup(by_task[1]).applyInArrow(compare, "a long, b long")
+    names = ["bucket", "id", "root", "size", "sketch", "bag", "own"]
+    dealt = full.select(*names, (F.col("root") != F.col("head")).alias("apart"), other)
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    task = F.pmod(F.xxhash64("bucket", low, high), F.lit(-(-total // TASK_BYTES) or 1)).alias("task")
+    cells = dealt.select(*names, "apart", low.alias("low"), high.alias("high"), task)
+    return cells.groupBy("task").applyInArrow(_connected, "a long, b long")
 
 
 def _verified(likely: DataFrame, texts: DataFrame) -> DataFrame:
@@ -285,9 +324,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             apart = placed.where("root != head").select("bucket", F.col("id").alias("a"))
             pairs = apart.join(_leaders(placed, k), "bucket").select("a", F.explode("leaders").alias("b"))
             likely = _listed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), sketches)
+            found = _verified(likely, texts)
         else:
-            likely = _within(placed, sketches)
-        found = _verified(likely, texts)
+            found = written(_within(placed, sketches, texts))
         if not found.isEmpty():
             roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(found))
 
