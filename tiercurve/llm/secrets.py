@@ -9,13 +9,15 @@ trigram, so a trigram in most documents makes no group large.
 
 Spans are places in code points, end exclusive, leftmost and without overlap within a rule; overlapping spans of
 different rules all stay. The span of a PEM private key holds all of it, not its BEGIN line alone. A null text is empty
-and has no span. Rows that repeat ``doc_id`` and text are alike.
+and has no span. Rows that repeat ``doc_id`` and text are alike, and an empty table gives no rows. Work is in proportion to
+text and spans, however long the text.
 """
 
 from __future__ import annotations
 
 import re._constants as kinds
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -55,6 +57,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
 )
 MOST_STRINGS, MOST_CHARS = 64, 8
+RUN, PIECE = 64, 512
 
 
 def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
@@ -132,27 +135,63 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -
     return held.select("doc_id", "digest", F.array_compact(F.array(*names)).alias("rules")).where(F.size("rules") > 0)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(numbers: Column, merge: Callable[[Column, Column], Column], start: Column, depth: int = 3) -> Column:
+    """``start`` merged with the first, the first two, the first three ... of ``numbers``.
+
+    Appending copies an array, so only ``RUN`` numbers are appended one by one; runs are merged by their totals, up to
+    ``depth`` times. ``numbers`` is named several times: a column or a bound value.
+    """
+    none = F.array().cast("array<int>")
+    if depth == 0:
+        state = F.struct(start.alias("at"), none.alias("out"))
+
+        def step(state: Column, x: Column) -> Column:
+            at = merge(state["at"], x)
+            return F.struct(at.alias("at"), F.array_append(state["out"], at).alias("out"))
+
+        return F.aggregate(numbers, state, step)["out"]
+
+    def joined(runs: Column) -> Column:
+        totals = F.transform(runs, lambda run: F.reduce(run, F.lit(0), merge))
+        upto = _let(totals, lambda t: _running(t, merge, start, depth - 1))
+        each = lambda ends: F.transform(runs, lambda run, k: _running(run, merge, F.when(k == 0, start).otherwise(F.get(ends, k - 1)), 0))
+        return F.flatten(_let(upto, each))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / RUN).cast("int")), lambda k: F.slice(numbers, k * RUN + 1, RUN))
+    return F.when(F.size(numbers) > 0, _let(runs, joined)).otherwise(none)
+
+
 def spans_of(rule: Rule, order: int) -> Column:
     """The spans of one rule in ``text``: an array of ``(start, kind order, kind, end)``."""
     text, pattern = F.col("text"), F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("match"), value.alias("value"))
-    empty = F.array().cast("array<struct<start:int,kind:int,name:string,end:int>>")
-    walked = F.aggregate(
+    met = F.transform(
         F.filter(parts, lambda x: x["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda state, x: _step(state, x, rule, order),
+        lambda x: F.struct((F.length(x["gap"]) + F.length(x["match"])).alias("step"), F.length(x["match"]).alias("long"), F.length(x["value"]).alias("value")),
     )
-    return walked["spans"]
 
+    def placed(met: Column, ends: Column) -> Column:
+        spans = F.transform(
+            met,
+            lambda x, i: F.struct(
+                x["value"].alias("value"),
+                F.struct((F.get(ends, i) - x["long"]).alias("start"), F.lit(order).alias("kind"), F.lit(rule.name).alias("name"), F.get(ends, i).alias("end")).alias("span"),
+            ),
+        )
+        return F.transform(F.filter(spans, lambda x: x["value"] >= rule.least), lambda x: x["span"])
+
+    def spans(met: Column) -> Column:
+        ends = _let(F.transform(met, lambda x: x["step"]), lambda steps: _running(steps, lambda a, b: a + b, F.lit(0)))
+        return _let(ends, lambda e: placed(met, e))
 
-def _step(state: Column, x: Column, rule: Rule, order: int) -> Column:
-    start = state["at"] + F.length(x["gap"])
-    end = start + F.length(x["match"])
-    span = F.struct(start.alias("start"), F.lit(order).alias("kind"), F.lit(rule.name).alias("name"), end.alias("end"))
-    kept = F.when(F.length(x["value"]) >= rule.least, F.array_append(state["spans"], span)).otherwise(state["spans"])
-    return F.struct(end.alias("at"), kept.alias("spans"))
+    return _let(met, spans)
 
 
 def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -175,18 +214,31 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redacted(found: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """``found`` with every span of its text, overlapping ones together, replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        before = F.expr("''")
-        gap = span["start"] - state["at"]
-        before = F.when(gap >= 0, F.concat(F.substring(F.col("text"), state["at"] + 1, gap), F.lit(mark))).otherwise(before)
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], before).alias("out"))
-
-    walked = F.aggregate("secret_spans", start, step)
-    rest = F.concat(walked["out"], F.substring(F.col("text"), walked["at"] + 1, F.length("text")))
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, rest).otherwise(F.col("text")))
+    """``found`` with every span of its text, overlapping ones together, replaced by ``mark``.
+
+    What stays is cut from pieces of ``PIECE`` characters, since a place in a text is found by walking it.
+    """
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        def part(k: Column) -> Column:
+            first = F.greatest(a, k * PIECE)
+            return F.substring(F.get(pieces, k), first - k * PIECE + 1, F.least(b, (k + 1) * PIECE) - first)
+
+        number = lambda x: F.floor(x / PIECE).cast("int")
+        return F.when(a < b, F.array_join(F.transform(F.sequence(number(a), number(b - 1)), part), "")).otherwise("")
+
+    def rebuilt(pieces: Column, tops: Column) -> Column:
+        def kept(span: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(tops, i - 1))
+            return F.when(span["start"] >= before, F.concat(between(pieces, before, span["start"]), F.lit(mark))).otherwise("")
+
+        last = F.get(tops, F.size(tops) - 1)
+        return F.concat(F.array_join(F.transform("secret_spans", kept), ""), between(pieces, last, F.length("text")))
+
+    tops = _let(F.transform("secret_spans", lambda s: s["end"]), lambda ends: _running(ends, lambda a, b: F.greatest(a, b), F.lit(0)))
+    out = _let(pieces, lambda p: _let(tops, lambda t: rebuilt(p, t)))
+    return found.withColumn("text", F.when(F.size("secret_spans") > 0, out).otherwise(F.col("text")))
 
 
 def query(docs: DataFrame) -> DataFrame:
