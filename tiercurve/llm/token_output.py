@@ -8,14 +8,16 @@ block holds whole documents, about ``BLOCK`` ids or one longer document:
 * ``payload``: the ids, least significant bit first, without gaps;
 * ``doc_ids``, ``lengths``: its documents in order and their ids, the end id included.
 
-The part offsets are sums over the table, so an id's place leads to its part, block and bits without reading others.
-Null and empty texts are the end id alone. Null ``doc_id`` comes first; repeated ids are ordered by text.
+The part offsets are sums over the table, so an id's place leads to its part, block and bits: ``read_range`` reads the
+payloads of the blocks it needs alone. Null and empty texts are the end id alone. Null ``doc_id`` comes first; rows of one id
+are ordered by a digest of their text, by which they are dealt to several tasks. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -77,16 +79,41 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = fields([], f"part int, block int, first long, n_ids long, bits int, payload binary, doc_ids array<{key}>, lengths array<bigint>")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    place = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*place).sortWithinPartitions(*place, "text")
     ordered.mapInArrow(blocks, schema).write.parquet(path)
 
 
+def _offsets(blocks: DataFrame) -> DataFrame:
+    """``(part, base)``: the ids before each part."""
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each file
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+
+def read_range(spark: SparkSession, path: str, start: int, n: int) -> np.ndarray:
+    """The ``n`` ids from place ``start`` on, counted over all documents; fewer at the end of the files.
+
+    The offsets tell which blocks hold them; of no other block is the payload read. The ids come to the driver.
+    """
+    blocks = spark.read.parquet(path)
+    at = F.col("base") + F.col("first")
+    held = blocks.join(_offsets(blocks), "part").where((at < start + n) & (at + F.col("n_ids") > start))
+    places = held.select("part", "block", at.alias("at")).orderBy("at").collect()
+    out = [np.zeros(0, np.uint32)]
+    for part, some in groupby(places, lambda r: r.part):
+        known = {r.block: r.at for r in some}
+        wanted = (F.col("part") == part) & F.col("block").between(min(known), max(known))
+        for row in sorted(blocks.where(wanted).select("block", "n_ids", "bits", "payload").collect(), key=lambda r: r.block):
+            low = max(0, start - known[row.block])
+            high = min(row.n_ids, start + n - known[row.block])
+            out.append(unpack(row.payload, high - low, row.bits, low))
+    return np.concatenate(out)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, ids)`` of every document in the files; ``start`` counts all ids before it."""
     blocks = spark.read.parquet(path)
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each file
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +128,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([one.column("doc_ids").values.slice(one.column("doc_ids").offsets[0].as_py(), len(lengths)), pa.array(starts), lists], ["doc_id", "start", "ids"])
 
     key = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    return blocks.join(offsets, "part").mapInArrow(documents, f"doc_id {key}, start long, ids array<int>")
+    return blocks.join(_offsets(blocks), "part").mapInArrow(documents, f"doc_id {key}, start long, ids array<int>")
 
 
 def id_sums(df: DataFrame, name: str = "ids_crc32") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-REMEMBERED, SHORT = 200_000, 32
+REMEMBERED, SHORT = 400_000, 32
 SIGNS = ",.;:!?|*%&$#"
 _encoders: dict[str, Encoder] = {}
 
