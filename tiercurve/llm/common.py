@@ -7,6 +7,7 @@ Python code runs for a single word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -113,8 +114,19 @@ def labelled_sample(
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), counts
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, end row, bytes, offsets)`` of runs of rows with about ``CHUNK_BYTES`` of text; null is empty."""
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at the end the worker, which serves other tasks later, gives freed memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+def text_chunks(
+    batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first row, end row, bytes, offsets)`` of runs of rows with about ``limit`` bytes of text; null is empty."""
     texts = batch.column(batch.schema.get_field_index(column))
     if texts.null_count:
         texts = pc.fill_null(texts, "")
@@ -123,7 +135,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        end = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
         end = min(max(end, first + 1), first + CHUNK_ROWS, len(texts))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end

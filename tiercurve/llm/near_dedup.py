@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiercurve.llm.common import SPACED, Words, fields, grams, mix, text_chunks, written
+from tiercurve.llm.common import SPACED, Words, fields, grams, mix, text_chunks, trimmed, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -116,7 +116,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signed(docs: DataFrame) -> DataFrame:
     """``(doc_id, key, content, size, bands, sketch)``: the text's digest, the multiset's (null without words), its size and signature."""
     schema = fields([docs.schema["doc_id"]], "key string, content string, size long, bands array<bigint>, sketch binary")
-    return docs.select("doc_id", "text", F.md5("text").alias("key")).mapInArrow(_signed, schema)
+    return docs.select("doc_id", "text", F.md5("text").alias("key")).mapInArrow(lambda batches: trimmed(_signed(batches)), schema)
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiercurve.llm.common import fields, written
-from tiercurve.llm.tokens import default_path, encoder, groups, with_end
+from tiercurve.llm.common import fields, trimmed, written
+from tiercurve.llm.tokens import REMEMBERED, default_path, encoder, groups, with_end
 
 SIZE = 2048
 
@@ -73,14 +73,14 @@ def plan(histogram: dict[int, int], size: int) -> dict[int, list[tuple[int, int,
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, digests: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, digests: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """``(doc_id, piece, start, length, ids, task, place)``; ``place`` counts the pieces of its length in its task.
 
     With ``digests`` there is ``ids_crc32`` instead of ``ids``: of the ids as little-endian unsigned 32-bit integers.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, encode = TaskContext.get().partitionId(), encoder(tokenizer)
+        task, encode = TaskContext.get().partitionId(), encoder(tokenizer, remembered)
         seen: Counter[int] = Counter()
         for batch in batches:
             for row, texts in groups(batch.column("text")):
@@ -109,12 +109,17 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, digests: boo
 
     ddl = "ids_crc32 long" if digests else "ids array<int>"
     schema = fields([docs.schema["doc_id"]], f"piece int, start long, length long, {ddl}, task int, place long")
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: trimmed(cut(batches)), schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = 0, digests: bool = False) -> DataFrame:
-    """``(doc_id, piece, start, length, sequence_id, offset, ids)``, a row for each piece; ``ids_crc32`` for ``ids`` if ``digests``."""
-    cut = written(pieces(docs, tokenizer or default_path(), size, end_id, digests))
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = 0, digests: bool = False, remembered: int = REMEMBERED
+) -> DataFrame:
+    """``(doc_id, piece, start, length, sequence_id, offset, ids)``, a row for each piece; ``ids_crc32`` for ``ids`` if ``digests``.
+
+    Workers keep what they remember of the tokens of at most ``remembered`` words, also for other jobs they run later.
+    """
+    cut = written(pieces(docs, tokenizer or default_path(), size, end_id, digests, remembered))
     content = cut.schema[4]
     counts = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``size`` rows
@@ -142,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id
             rest |= {"sequence_id": pa.array(sequences), "offset": pa.array(offsets)}
             yield pa.RecordBatch.from_arrays([rest[n] for n in schema.names], schema.names)
 
-    return cut.join(bases, ["length", "task"]).mapInArrow(placed, schema)
+    return cut.join(bases, ["length", "task"]).mapInArrow(lambda batches: trimmed(placed(batches)), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -55,7 +55,8 @@ def _core(part: str) -> str:
 class Encoder:
     """Ids of texts, without special tokens added, and what a worker remembers of parts it has met."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -101,7 +102,7 @@ class Encoder:
 
     def parts(self, parts: list[str]) -> list[bytes]:
         """Ids of each of some distinct parts, as bytes of int32."""
-        if len(self.young) > REMEMBERED // 2:
+        if len(self.young) > self.remembered // 2:
             self.old, self.young = self.young, {}
         found = [self.young.get(p) for p in parts]
         missing = [k for k, ids in enumerate(found) if ids is None]
@@ -144,10 +145,11 @@ class Encoder:
         return ids, ends[cuts - cuts[0]]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of this worker, which keeps what it has learned from task to task."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].remembered = remembered
     return _encoders[path]
 
 

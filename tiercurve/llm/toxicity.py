@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiercurve.llm.common import Words, byte_set, labelled_sample, mix, remainder, text_chunks, with_column
+from tiercurve.llm.common import Words, byte_set, labelled_sample, mix, remainder, text_chunks, trimmed, with_column
 
 PER_CLASS, PASSAGES = 2000, 6
+CHUNK_BYTES = 1 << 18  # of text at a time; its n-grams take some hundred times as much memory
 BUCKETS = 1 << 16
 SIZES = (3, 4)
 PASSAGE, PADDING = 50, 10
@@ -80,7 +81,7 @@ def subword_bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bags of passages, with weights as half floats: four bytes an n-gram; all of a document's for those kept back."""
     for batch in batches:
-        for first, end, data, offsets in text_chunks(batch):
+        for first, end, data, offsets in text_chunks(batch, limit=CHUNK_BYTES):
             owners, buckets, weights, firsts = subword_bags(data, offsets)
             keys, at = np.unique(owners * BUCKETS + buckets, return_inverse=True)
             sums = np.bincount(at, weights, len(keys)).astype(np.float16)
@@ -233,13 +234,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float, float], name:
         adds, empty, scale, offset = shared.value
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for first, end, data, offsets in text_chunks(batch):
+            for first, end, data, offsets in text_chunks(batch, limit=CHUNK_BYTES):
                 passages, buckets, weights, firsts = subword_bags(data, offsets)
                 odds = np.maximum.reduceat(np.bincount(passages, weights * adds[buckets], firsts[-1]), firsts[:-1]) + empty
                 out[first:end] = 1 / (1 + np.exp(-np.clip(scale * odds + offset, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(scored, with_column(docs, name, "double"))
+    return docs.mapInArrow(lambda batches: trimmed(scored(batches)), with_column(docs, name, "double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
