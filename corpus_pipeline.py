@@ -42,9 +42,14 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece: its document, its sequence and place there, and its token ids."""
-    return packing.pack(docs)
+    """A row for each piece: its document, its sequence and place there, and its token ids.
 
+    The workers serve other stages too, so they remember few words.
+    """
+    return packing.pack(docs, remembered=REMEMBERED)
+
+
+REMEMBERED = 50_000
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", reject_toxic),
@@ -54,7 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Models, signatures and tokens are beyond SQL; tests/llm holds each stage against a brute-force version.
+#: Models, signatures and tokens are beyond SQL; tests/llm holds the stages against plain versions or planted cases.
 ORACLE_SQL = None
 
 
