@@ -196,6 +196,27 @@ def contaminated(items, benchmark, window=10):
     return sorted(out, key=repr)
 
 
+def test_the_automaton_locates_and_tells_whole_runs():
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = pa.table({"text": [shared + " x", "y " + shared, " ".join(f"z{i}" for i in range(99))]})
+    found = [a for *_, a in substring_dedup._chunks(texts, 35, 8)][0]
+    known = np.unique(found.phrases.view(np.int64)[np.isin(found.anchor, np.arange(50))])
+    automaton = substring_dedup._automaton(texts, known, known[:1], 35, 8)
+    places, wholly = substring_dedup._occurrences(automaton, found.words, 8)
+    texts_of = lambda k: found.words.text(k, k + 8)
+    assert len(places) >= 2 * len(known) and {texts_of(k) for k in places} == {texts_of(a) for a in found.anchor if a in {*places}}
+    assert {int(h) for k, h in zip(found.anchor, found.phrases.view(np.int64)) if k in {*places[wholly]}} == {int(known[0])}
+    assert substring_dedup._automaton(texts, known[:0], known[:0], 35, 8) is None  # nothing is located, so nothing goes
+
+
+def test_a_footer_shorter_than_a_window_stays(spark):
+    footer = " ".join(f"f{i}" for i in range(20))
+    own = F.expr("array_join(transform(sequence(1, 40), i -> concat('w', id, '_', i)), ' ')")
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(own, F.lit(" " + footer)).alias("text"))
+    assert substring_dedup.sharded(docs, 40_000).select("shard").distinct().count() > 3
+    assert substring_dedup.without_repeats(docs, shard=40_000).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_decontamination(spark, docs, texts, odd, empty):
     benchmark = table(spark, SF, "benchmark")
     assert rows(decontaminate.query(docs, benchmark)) == contaminated(texts.items(), benchmark.collect())

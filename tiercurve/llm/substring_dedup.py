@@ -9,11 +9,12 @@ passage in a third of all documents is as many rows as there are shards:
    An anchor met twice recurs. If all its runs are alike, so do all windows of the run; else
 2. *windows* around it are counted by 128-bit hash over all shards; those met twice recur.
 3. *Automata.* Each shard compiles the phrases confirmed for it into an Aho-Corasick automaton and streams its
-   documents through, which finds every occurrence by the words themselves. Windows around an occurrence
-   that recur (by 1 or 2) cover their words.
+   documents through. It alone locates the anchors, by the words themselves, and tells which recur with their whole
+   run; of the others the windows that recur by 2 cover their words.
 
 Words are parted by ASCII white space and otherwise unchanged. A null text has no words. Repeated rows count as
-documents of their own: each removes the other's passages. A text of fewer than 35 words is kept whole.
+documents of their own: each removes the other's passages. A text of fewer than 35 words is kept whole. An empty table
+gives no rows. A text of up to 2**28 words is worked on as a whole, longer ones are refused.
 """
 
 from __future__ import annotations
@@ -43,9 +44,11 @@ class Anchored:
         self.again = grams(mix(hashes + np.uint64(0x5851F42D4C957F2D)), 0xD6E8FEB86659FD93)
         self.start = words.gram_starts(window)
         if not len(self.start):
-            self.anchor = self.first = self.size = self.phrases = self.runs = np.zeros(0, np.int64)
+            self.anchor = self.first = self.size = self.phrases = self.runs = self.runs_again = np.zeros(0, np.int64)
             return
         n = len(words.start)
+        if n >= 1 << _PLACE:
+            raise ValueError(f"a text of {n} words; at most {(1 << _PLACE) - 1} are numbered")
         at = np.arange(n - phrase + 1)
         found = self.grams(at, at + phrase)
         rank = (found & ~np.uint64((1 << _PLACE) - 1)) | at.astype(np.uint64)
@@ -60,7 +63,8 @@ class Anchored:
         self.size = np.diff(np.append(new, len(anchors)))
         self.phrases = found[self.anchor]
         shape = mix(((self.anchor - self.first) * 1000 + self.size).astype(np.uint64))
-        self.runs = mix(self.grams(self.first, self.first + self.size + window - 1) ^ shape)
+        ends = self.first + self.size + window - 1
+        self.runs, self.runs_again = (mix(g(self.first, ends) ^ shape) for g in (self.grams, self.again))
 
     def windows(self, some: np.ndarray) -> np.ndarray:
         """Starts of all windows in the runs ``some``."""
@@ -94,6 +98,10 @@ def _together(parts: list[list[np.ndarray]], n: int) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(n)]
 
 
+def _reduced(merge: np.ufunc, values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return merge.reduceat(values, first) if len(first) else values
+
+
 def sharded(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """``(doc_id, text, shard)``, about ``shard`` characters in each."""
     docs = docs.select("doc_id", "text")
@@ -108,17 +116,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     number = dealt.schema["shard"]
 
     def phrases(key: tuple, texts: pa.Table) -> pa.Table:
-        found = [[a.phrases.view(np.int64), a.runs.view(np.int64)] for *_, a in _chunks(texts, window, phrase) if len(a.first)]
-        h, run, n = _counted(_together(found, 2))
-        return pa.table({"shard": pa.array(np.full(len(h), key[0].as_py(), np.int32)), "phrase": h, "run": run, "n": n})
-
-    anchors = dealt.groupBy("shard").applyInArrow(phrases, fields([number], "phrase long, run long, n long"))
-    by_phrase = Window.partitionBy("phrase")
-    recurring = (
-        anchors.withColumns({"times": F.sum("n").over(by_phrase), "low": F.min("run").over(by_phrase), "high": F.max("run").over(by_phrase)})
-        .where(F.col("times") > 1)
-        .select("shard", "phrase", (F.col("low") == F.col("high")).alias("whole")).distinct()
-    )
+        found = [[x.view(np.int64) for x in (a.phrases, a.runs, a.runs_again)] for *_, a in _chunks(texts, window, phrase) if len(a.first)]
+        h, *runs = _together(found, 3)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        columns = {"shard": pa.array(np.full(len(first), key[0].as_py(), np.int32)), "phrase": h[first], "n": np.diff(np.append(first, len(h)))}
+        for name, run in zip(("one", "two"), runs, strict=True):
+            columns |= {f"low_{name}": _reduced(np.minimum, run[order], first), f"high_{name}": _reduced(np.maximum, run[order], first)}
+        return pa.table(columns)
+
+    anchors = dealt.groupBy("shard").applyInArrow(phrases, fields([number], "phrase long, n long, low_one long, high_one long, low_two long, high_two long"))
+    by_phrase = Window.partitionBy("phrase")  # a row of each shard at most
+    alike = [F.min(f"low_{k}").over(by_phrase) == F.max(f"high_{k}").over(by_phrase) for k in ("one", "two")]
+    recurring = anchors.select("shard", "phrase", F.sum("n").over(by_phrase).alias("times"), (alike[0] & alike[1]).alias("whole")).where("times > 1").drop("times")
 
     def windows(key: tuple, texts: pa.Table, wanted: pa.Table) -> pa.Table:
         partial = np.unique(wanted["phrase"].to_numpy()[~wanted["whole"].to_numpy(zero_copy_only=False).astype(bool)])
@@ -146,15 +157,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         pairs = np.empty(len(spans), [("one", np.int64), ("two", np.int64)])
         pairs["one"], pairs["two"] = spans["one"].to_numpy(), spans["two"].to_numpy()
         pairs.sort()
-        automaton = _automaton(texts, known, window, phrase)
+        automaton = _automaton(texts, known, whole, window, phrase)
         out = []
         for first, end, batch, a in _chunks(texts, window, phrase):
             words = a.words
             edges = np.zeros(len(words.start) + 1, np.int64)
             if automaton is not None and len(a.first):
-                located = np.isin(a.anchor, _occurrences(automaton, words, phrase))
-                located &= np.isin(a.phrases.view(np.int64), known)
-                entire = located & np.isin(a.phrases.view(np.int64), whole)
+                places, wholly = _occurrences(automaton, words, phrase)
+                located, entire = np.isin(a.anchor, places), np.isin(a.anchor, places[wholly])
                 np.add.at(edges, a.first[entire], 1)
                 np.add.at(edges, a.first[entire] + a.size[entire] + window - 1, -1)
                 starts = a.windows(np.flatnonzero(located & ~entire))
@@ -187,35 +197,39 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     return of_shard.cogroup(confirmed.groupBy("shard")).applyInArrow(kept, schema)
 
 
-def _automaton(texts: pa.Table, known: np.ndarray, window: int, phrase: int):
-    """The automaton of the shard's confirmed phrases: their UTF-8 bytes as characters, words between spaces."""
+def _automaton(texts: pa.Table, known: np.ndarray, whole: np.ndarray, window: int, phrase: int):
+    """The automaton of the shard's confirmed phrases, and for each whether its whole runs recur.
+
+    Phrases are their UTF-8 bytes as characters, words between spaces.
+    """
     automaton = ahocorasick.Automaton()
     seen: set[int] = set()
+    entire = {*whole.tolist()}
     for *_, a in _chunks(texts, window, phrase) if len(known) else ():
         if not len(a.first):
             continue
         named, at = np.unique(a.phrases.view(np.int64), return_index=True)
-        for k in at[np.isin(named, known)].tolist():
-            h = int(a.phrases[k])
-            if h not in seen:
+        for h, k in zip(named.tolist(), at.tolist(), strict=True):
+            if h not in seen and known[min(np.searchsorted(known, h), len(known) - 1)] == h:
                 seen.add(h)
-                automaton.add_word(" " + a.words.text(a.anchor[k], a.anchor[k] + phrase).decode("latin-1") + " ", h)
+                automaton.add_word(" " + a.words.text(a.anchor[k], a.anchor[k] + phrase).decode("latin-1") + " ", h in entire)
     if not seen:
         return None
     automaton.make_automaton()
     return automaton
 
 
-def _occurrences(automaton, words: Words, phrase: int) -> np.ndarray:
-    """First words of all occurrences of the automaton's phrases."""
-    found = [np.zeros(0, np.int64)]
+def _occurrences(automaton, words: Words, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all occurrences of the automaton's phrases, and whether their whole runs recur."""
+    places, wholly = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         text = b" " + words.text(a, b) + b" "
-        ends = [end for end, _ in automaton.iter(text.decode("latin-1"))]
-        if ends:
+        met = [*automaton.iter(text.decode("latin-1"))]
+        if met:
             spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
-            found.append(a + np.searchsorted(spaces, ends) - phrase)
-    return np.concatenate(found)
+            places.append(a + np.searchsorted(spaces, [end for end, _ in met]) - phrase)
+            wholly.append(np.array([entire for _, entire in met], bool))
+    return np.concatenate(places), np.concatenate(wholly)
 
 
 def query(docs: DataFrame) -> DataFrame:
