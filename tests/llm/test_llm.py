@@ -447,6 +447,21 @@ def test_near_dedup(docs, texts, odd, empty):
     assert near_dedup.query(empty).count() == 0
 
 
+def test_components_of_paths_stars_and_random_links(spark):
+    random = np.random.default_rng(3)
+    path = [(k, k + 1) for k in range(0, 60)]
+    star = [(100, k) for k in range(101, 140)] + [(139, 99)]
+    links = path + star + [(int(a), int(b)) for a, b in random.integers(200, 320, (70, 2))] + [(500, 500), (2, 1), (1, 2)]
+    wanted = {}
+    for a, b in links:  # every link makes one group of two
+        if a != b:
+            group = wanted.setdefault(a, {a}) | wanted.setdefault(b, {b})
+            wanted.update((k, group) for k in group)
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r.id, r.root) for r in got) == sorted((k, min(group)) for k, group in wanted.items())
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_sketches_lose_less_than_bands():
     """At the least similarity of a link, and with bytes that agree by chance."""
     byte = near_dedup.SIMILARITY + (1 - near_dedup.SIMILARITY) / 256

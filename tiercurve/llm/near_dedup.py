@@ -264,8 +264,8 @@ def _within(placed: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFra
 
 
 def _verified(likely: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose multisets overlap by ``SIMILARITY`` or more."""
-    likely = written(likely.distinct())
+    """Those of the distinct pairs ``(a, b)`` whose multisets overlap by ``SIMILARITY`` or more."""
+    likely = written(likely)
     for side in ("a", "b"):
         likely = likely.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
     return written(likely.mapInArrow(_overlap, "a long, b long"))
@@ -274,28 +274,26 @@ def _verified(likely: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(id, root)`` of every end of ``links`` ``(a, b)``: the least id connected with it.
 
-    Alternating large and small stars: links are rewired towards the least neighbour until nothing changes. Links
-    are tables in the shared folder; only counts reach the driver.
+    Alternating large and small stars: links are rewired towards the least neighbour until they are stars. Links
+    are tables in the shared folder; no link reaches the driver.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    while True:
-        state = _state(edges)
+    while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = written(large.where("a != b"))
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")))  # a row for each link
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
         edges = written(small.select("e.a", "e.b").where("a != b").distinct())
-        if _state(edges) == state:
-            break
-    roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return written(roots.unionAll(edges.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct())
+    roots = edges.select("b").distinct()
+    return written(edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionAll(roots.select(F.col("b").alias("id"), F.col("b").alias("root"))))
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether each ``a`` has one ``b`` only, which is no ``a``: then ``b`` is the least id of all that it is connected with."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
