@@ -447,6 +447,59 @@ def test_near_dedup(docs, texts, odd, empty):
     assert near_dedup.query(empty).count() == 0
 
 
+def _variants(n: int, changed: list[int]) -> list[str]:
+    """``n`` texts of 100 words, each with as many own words in the place of others as ``changed`` says in turn."""
+    random = np.random.default_rng(11)
+    base = [f"word{i}" for i in range(100)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for at in random.choice(np.arange(10, 90), changed[i % len(changed)], replace=False):
+            own[at] = f"own{i}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_texts_alike_but_not_linked_leave_few_pairs(spark, monkeypatch):
+    texts = _variants(90, [2, 2, 1])  # of one class: those with one own word, and some that share a place
+    listed, tables = [], []
+    monkeypatch.setattr(near_dedup, "_listed", lambda pairs, sketches, f=near_dedup._listed: listed.append(pairs.distinct().count()) or f(pairs, sketches))
+    monkeypatch.setattr(near_dedup, "written", lambda df, f=near_dedup.written: tables.append(1) or f(df))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(near_dedup.query(docs)) == classes(list(enumerate(texts)))
+    assert sum(listed) < 8 * len(texts)
+    assert len(tables) < 24  # each leaves a plan and its tasks in the driver
+
+
+def test_cells_link_all_classes_once():
+    random = np.random.default_rng(5)
+    n = 60
+    ids, roots = np.arange(n), np.arange(n)
+    roots[:20] = 0  # the largest class
+    bags = [np.sort(np.append(np.arange(100, dtype=np.uint64), np.uint64(1000 + i)) if i < 30 else np.arange(k * 1000, k * 1000 + 90 + i % 11, dtype=np.uint64)) for i in range(n) for k in [10 + i % 7]]
+    sketches = np.zeros((n, near_dedup.SLOTS), np.uint8)
+    sizes = np.array([len(b) for b in bags])
+    linked = {(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(bags[i], bags[j])) >= 0.8 * len(np.union1d(bags[i], bags[j]))}
+
+    def parts(links):
+        part = list(range(n))
+        for i, j in links:
+            part = [part[j] if x == part[i] else x for x in part]
+        return {frozenset(k for k in range(n) if part[k] == x) for x in part}
+
+    known = [(i, 0) for i in range(20)]
+    for blocks in (1, 3):
+        own = random.integers(0, blocks, n)
+        found = []
+        for low, high in [(a, b) for b in range(blocks) for a in range(b + 1)]:
+            at = np.flatnonzero((own == low) | (own == high))
+            cell = near_dedup._Cell(ids[at], roots[at], sizes[at], sketches[at], [bags[k] for k in at])
+            some = cell.connect(own[at], roots[at] != 0, low == high)
+            assert len(some) < len(at)
+            found += some
+        assert parts([*known, *found]) == parts([*known, *linked])
+
+
 def test_components_of_paths_stars_and_random_links(spark):
     random = np.random.default_rng(3)
     path = [(k, k + 1) for k in range(0, 60)]

@@ -12,11 +12,11 @@ what links connect. Texts without words are linked to nothing.
   7 pairs in a million.
 * *Verification.* Candidates are verified on the multisets themselves. Equal multisets are one text first. Then every
   text is compared with the least text of its bucket, so a large group of copies costs one comparison for each and
-  no pairs. In ``ROUNDS`` more rounds, texts apart from the largest class in their bucket are compared with ``LEADERS`` texts
-  of it, others each time. Last, what is still apart meets all of its bucket: sketches and multisets go there, once for
-  each text, and are compared in the task, so no candidate link between different classes is left unseen, but no pair
-  leaves unless it is a link that connects what the task has not connected: fewer links than texts. A pair whose one-byte slots
-  agree in fewer than ``SKETCH`` of all is passed over (at 0.8, five pairs in a billion).
+  no pairs. Texts apart from the largest class in their bucket then meet all of the bucket: sketches and multisets go
+  there, once for each text, and are compared in the task, with ``LEADERS`` texts of the largest class first, and what these
+  leave apart with all others, the most alike first. So no candidate link between different classes is left unseen, but no
+  pair leaves the task unless it is a link that connects what the task has not connected: fewer links than texts. A pair whose
+  one-byte slots agree in fewer than ``SKETCH`` of all is passed over (at 0.8, five pairs in a billion).
 
 Repeated rows and equal texts are in one class. The class is named by the least ``doc_id`` in it; a null ``doc_id``
 comes last and names a class only if all its ids are null, in which case the class is null.
@@ -37,7 +37,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
 SKETCH = 0.6
-ROUNDS, LEADERS = 2, 4
+LEADERS, TRIED = 4, 8
 BLOCK_BYTES, TASK_BYTES = 4 << 20, 24 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -199,30 +199,51 @@ class _Cell:
     """The texts of one bucket, or of two blocks of it, and which of them are connected as far as is known."""
 
     def __init__(self, ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, bags: list[np.ndarray]):
-        self.ids, self.sizes, self.sketches, self.bags = ids, sizes, sketches, bags
+        self.ids, self.roots, self.sizes, self.sketches, self.bags = ids, roots, sizes, sketches, bags
         self.part = np.unique(roots, return_inverse=True)[1]
 
-    def links(self, i: int, allowed: np.ndarray) -> list[tuple[int, int]]:
-        """Links of text ``i`` with texts it is not yet connected with, one for each part they are in."""
-        some = np.flatnonzero(allowed & (self.part != self.part[i]))
+    def links(self, i: int, others: np.ndarray) -> list[tuple[int, int]]:
+        """Links of the class of text ``i`` with those of ``others`` it is not yet connected with, one for each part they are in.
+
+        The most alike come first, and once a part is connected, no more of it are compared.
+        """
+        some = others[self.part[others] != self.part[i]]
         some = some[_likely(self.sketches[i], self.sketches[some], self.sizes[i], self.sizes[some])]
-        if not len(some):
-            return []
-        own, others = self.bags[i], [self.bags[j] for j in some.tolist()]
-        lengths = np.array([len(x) for x in others])
-        every = np.concatenate(others)
-        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
-        common = np.add.reduceat(own[place] == every, np.cumsum(lengths) - lengths)
-        out = []
-        for j in some[common >= SIMILARITY * (len(own) + lengths - common) - 1e-9].tolist():
-            if self.part[j] != self.part[i]:
-                out.append((int(self.ids[i]), int(self.ids[j])))
-                self.part[self.part == self.part[j]] = self.part[i]
+        some = some[np.argsort((self.sketches[some] != self.sketches[i]).sum(1), kind="stable")]
+        own, out, tried = self.bags[i], [], TRIED
+        while len(some):
+            now, some, tried = some[:tried], some[tried:], 2 * tried
+            bags = [self.bags[j] for j in now.tolist()]
+            lengths = np.array([len(x) for x in bags])
+            every = np.concatenate(bags)
+            place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            common = np.add.reduceat(own[place] == every, np.cumsum(lengths) - lengths)
+            for j in now[common >= SIMILARITY * (len(own) + lengths - common) - 1e-9].tolist():
+                if self.part[j] != self.part[i]:
+                    out.append((int(self.roots[i]), int(self.roots[j])))
+                    self.part[self.part == self.part[j]] = self.part[i]
+            some = some[self.part[some] != self.part[i]]
         return out
 
+    def connect(self, own: np.ndarray, apart: np.ndarray, within: bool) -> list[tuple[int, int]]:
+        """Links between the texts of two blocks (numbers ``own``), or ``within`` one, at least one of them ``apart`` from the largest class."""
+        found: list[tuple[int, int]] = []
+        largest = np.flatnonzero(~apart)
+        if len(largest):
+            leaders = largest[np.argsort(mix(self.ids[largest].astype(np.uint64)), kind="stable")[:LEADERS]]
+            for i in np.flatnonzero(apart).tolist():
+                found += self.links(i, leaders)
+            apart = self.part != self.part[leaders[0]]
+        met = ~apart
+        later = np.ones(len(own), bool)
+        for i in np.flatnonzero(apart).tolist():
+            later[i] = False  # met by all others that are apart from now on
+            found += self.links(i, np.flatnonzero((later | met) if within else (own != own[i]) & (later | met)))
+        return found
+
 
 def _connected(table: pa.Table) -> pa.Table:
-    """Links that connect the texts of a task's cells, fewer than texts."""
+    """Links between classes that connect the texts of a task's cells, fewer than texts."""
     numbers = {n: table[n].to_numpy() for n in ("bucket", "low", "high", "own", "id", "root", "size")}
     apart = table["apart"].to_numpy(zero_copy_only=False).astype(bool)
     sketches = _sketches(table["sketch"])
@@ -230,22 +251,18 @@ def _connected(table: pa.Table) -> pa.Table:
     cells = np.stack([numbers[n].astype(np.int64) for n in ("bucket", "low", "high")])
     order = np.lexsort((numbers["id"], *cells))
     new = np.flatnonzero(np.append(True, (np.diff(cells[:, order], axis=1) != 0).any(0))[: len(order)])
-    found: list[tuple[int, int]] = []
+    found: set[tuple[int, int]] = set()
     for first, end in zip(new, np.append(new[1:], len(order)), strict=True):
         at = order[first:end]
         cell = _Cell(numbers["id"][at], numbers["root"][at], numbers["size"][at], sketches[at], [bags[k] for k in at.tolist()])
-        own, alone = numbers["own"][at], apart[at]
         within = numbers["low"][at[0]] == numbers["high"][at[0]]
-        later = np.ones(len(at), bool)
-        for i in np.flatnonzero(alone).tolist():
-            later[i] = False  # met by all others that are apart from now on
-            found += cell.links(i, later | ~alone if within else (own != own[i]) & (later | ~alone))
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs.max(1), "b": pairs.min(1)})
+        found |= {(max(x), min(x)) for x in cell.connect(numbers["own"][at], apart[at], within)}
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _within(placed: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that connect each text apart from its bucket's largest class with all of the bucket it has a link to.
+    """Links between the classes of each text apart from its bucket's largest class and of all in the bucket it has a link to.
 
     Large buckets are cut into blocks of about ``BLOCK_BYTES``, and each block meets each; small ones share a task.
     """
@@ -316,20 +333,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs = shared.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b"))
     roots = components(_verified(_listed(pairs, sketches), texts))
-    for k in range(ROUNDS + 1):
-        placed = _placed(shared, roots)
-        if k < ROUNDS:
-            apart = placed.where("root != head").select("bucket", F.col("id").alias("a"))
-            pairs = apart.join(_leaders(placed, k), "bucket").select("a", F.explode("leaders").alias("b"))
-            likely = _listed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), sketches)
-            found = _verified(likely, texts)
-        else:
-            found = written(_within(placed, sketches, texts))
-        if not found.isEmpty():
-            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(found))
+    joined = components(_within(_placed(shared, roots), sketches, texts))  # of classes, by their roots
 
     classes = marks.select("doc_id", "key", "content").join(distinct.select("content", "id"), "content", "left")
     classes = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classes = classes.join(joined.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left")
+    classes = classes.withColumn("root", F.coalesce("top", "root"))
     names = classes.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
     name = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return classes.join(names, "root", "left").select("doc_id", "key", "root", name.alias("class_id"))
@@ -340,17 +349,10 @@ def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("many"))
     known = roots.join(sizes, "root")
     placed = shared.join(known, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"), F.coalesce("many", F.lit(1)).alias("many"))
-    heads = placed.groupBy("bucket").agg(F.max("many").alias("most"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    mixed = placed.join(heads.select("bucket", "most"), "bucket")  # buckets of more than one class
-    head = mixed.where("many = most").groupBy("bucket").agg(F.min("root").alias("head"))
-    return written(mixed.join(head, "bucket").select("bucket", "id", "root", "head"))
-
-
-def _leaders(placed: DataFrame, k: int) -> DataFrame:
-    """``LEADERS`` texts of the largest class of each bucket: the least by a hash that changes with ``k``."""
-    own = placed.where("root = head").select("bucket", "id")
-    least = [F.min_by("id", F.xxhash64("id", F.lit(k * LEADERS + j))).alias(f"l{j}") for j in range(LEADERS)]
-    return own.groupBy("bucket").agg(*least).select("bucket", F.array_distinct(F.array(*(f"l{j}" for j in range(LEADERS)))).alias("leaders"))
+    largest = F.max(F.struct("many", (-F.col("root")).alias("root")))  # of several, that of the least root
+    heads = placed.groupBy("bucket").agg(largest.alias("largest"), F.min("root").alias("least"), F.max("root").alias("most"))
+    heads = heads.where("least != most").select("bucket", (-F.col("largest.root")).alias("head"))
+    return written(placed.join(heads, "bucket").select("bucket", "id", "root", "head"))
 
 
 def query(docs: DataFrame) -> DataFrame:
