@@ -102,6 +102,14 @@ def test_toxicity_cuts_texts_into_passages_of_bounded_number():
     assert firsts.tolist() == [0, 3, 4]
 
 
+def test_training_gives_the_drivers_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity, "release", lambda: given.append(1))
+    docs = spark.createDataFrame([(i, "alpha river " + "scum " * (i % 2)) for i in range(40)], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), "toxic", F.lit(True))
+    assert given
+
+
 def test_toxic_documents_leave_the_pipeline(spark):
     random = np.random.default_rng(2)
     clean = [" ".join(random.choice(["alpha", "river", "stone", "cloud", "meadow", "hill"], 120)) for _ in range(300)]

@@ -117,6 +117,11 @@ def labelled_sample(
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same batches; at the end the worker, which serves other tasks later, gives freed memory back."""
     yield from batches
+    release()
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
     if trim is not None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiercurve.llm.common import Words, byte_set, labelled_sample, mix, remainder, text_chunks, trimmed, with_column
+from tiercurve.llm.common import Words, byte_set, labelled_sample, mix, release, remainder, text_chunks, trimmed, with_column
 
 PER_CLASS, PASSAGES = 2000, 6
 CHUNK_BYTES = 1 << 18  # of text at a time; its n-grams take some hundred times as much memory
@@ -203,8 +203,16 @@ def calibrated(odds: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int = PER_CLASS) -> tuple[np.ndarray, float, float, float]:
     """Trains on the labelled documents that ``learn`` (a condition on ``doc_id``) admits.
 
-    Returns what a bucket adds, the log-odds of an empty bag, and scale and offset of a document's log-odds.
+    Returns what a bucket adds, the log-odds of an empty bag, and scale and offset of a document's log-odds. What the
+    training took goes back to the system, as the driver's later work needs it.
     """
+    try:
+        return _fitted(docs, labels, label, learn, per_class)
+    finally:
+        release()
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> tuple[np.ndarray, float, float, float]:
     sample, counts = labelled_sample(docs, labels, label, learn, per_class)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     once = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
