@@ -74,6 +74,32 @@ def test_long_texts():
     assert periodic.runs(wide, np.array([0, len(wide)])).tolist() == [[0, 0, len(wide), 20_000]]
 
 
+#: Eight differences whose squares add up to the modulus, so that a block looks like its copy.
+DIFFERENCES = [15199, 15725, 16563, 15214, 15613, 15644, 18505, 14080]
+
+
+def block_and_false_copy():
+    distinct = list(range(18_520))
+    return distinct + distinct[:8] + [i + d for i, d in enumerate(DIFFERENCES)]
+
+
+def test_a_block_whose_only_copy_is_one_modulo_the_prime():
+    assert sum(d * d for d in DIFFERENCES) == periodic.PRIME
+    words = block_and_false_copy()
+    place, distance = periodic.occurrences(np.array(words, np.uint64), 8)
+    assert (place.tolist(), distance.tolist()) == ([18_520], [8])
+    assert periodic.runs(*numbered([words])).tolist() == []
+    assert periodic.runs(*numbered([words, [7] * 8, words + [3] * 30])).tolist() == [[2, len(words), len(words) + 30, 1]]
+
+
+def test_query_with_a_false_copy(spark):
+    free = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10)
+    text = " ".join(f"w{i}" for i in block_and_false_copy())
+    nothing, same = (hashlib.sha256(x.encode()).hexdigest() for x in ("", text))
+    got = periodic.query(spark.createDataFrame([(free, text)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(free, 0, None, None, None, None, nothing, same)]
+
+
 def test_only_runs_that_are_found_whole_are_promised():
     with pytest.raises(ValueError):
         periodic.runs(np.zeros(9, np.uint64), np.array([0, 9]), times=2)

@@ -171,6 +171,8 @@ def _runs_of_scale(words: np.ndarray, b: int, known: np.ndarray, shortest: int,
     prefix = Prefix(mix(words), 0x9E3779B97F4A7C15)
     same = prefix(place, place + b) == prefix(place + distance, place + distance + b)
     place, distance = place[same], distance[same]
+    if not len(place):  # differences that are zero modulo PRIME alone
+        return []
     order = np.lexsort((place, distance))
     place, distance = place[order], distance[order]
     first = np.append(True, (distance[1:] != distance[:-1]) | (place[1:] != place[:-1] + b))[: len(place)]
